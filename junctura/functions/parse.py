@@ -5,62 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from junctura.fixed import ANCHOR_MAX, ANCHOR_MIN_J, ANCHOR_USABLE, TRAILING
+from junctura.fixed import ANCHOR_MIN_J, TRAILING
 
 
-def split_around(
-    cdr3: Column,
-    v_anchor: Column,
-    j_anchor: Column,
-    min_v: int = 1,
-    min_j: int = ANCHOR_MIN_J,
-    usable: int = ANCHOR_USABLE,
-    max_anchor: int = ANCHOR_MAX,
-    trailing: int = TRAILING,
-) -> Column:
-    """Struct ``(v_prefix, n_region, j_suffix)``, or null when the sequence does not parse.
+def v_prefix(cdr3: Column, anchor: Column, shortest: int = 1) -> Column:
+    """The longest start that the sequence shares with its anchor; empty for none.
 
-    The prefix is the longest start the sequence shares with its V anchor. The suffix begins
-    at the last place, at most ``trailing`` residues from the end, where the longest possible
-    tail of the J anchor occurs. Anchor lengths are bounded, so both searches are spelled out
-    as plain conditions that compile, in place of arrays.
+    Anchor and sequence stand on two lines, and a greedy group on the first line has to recur
+    at the start of the second.
     """
-    size = F.length(cdr3)
-    v_len = F.coalesce(
-        *[
-            F.when(
-                (F.length(v_anchor) >= n)
-                & (F.substring(cdr3, 1, n) == F.substring(v_anchor, 1, n)),
-                n,
-            )
-            for n in range(max_anchor, min_v - 1, -1)
-        ]
-    )
-    j_len = F.coalesce(
-        *[
-            F.when(
-                (F.length(j_anchor) >= n)
-                & (size >= n + extra)
-                & (
-                    F.substring(cdr3, size - (n + extra - 1), F.lit(n))
-                    == F.right(j_anchor, F.lit(n))
-                ),
-                n + extra,
-            )
-            for n in range(max_anchor, min_j - 1, -1)
-            for extra in range(trailing + 1)
-        ]
-    )
-    fits = (
-        (F.length(v_anchor) >= usable)
-        & (F.length(j_anchor) >= usable)
-        & (size - j_len >= v_len)
-    )
-    return F.when(
-        fits,
-        F.struct(
-            F.substring(cdr3, F.lit(1), v_len).alias("v_prefix"),
-            F.substring(cdr3, v_len + 1, size - j_len - v_len).alias("n_region"),
-            F.substring(cdr3, size - j_len + 1, j_len).alias("j_suffix"),
-        ),
-    )
+    return F.regexp_extract(F.concat_ws("\n", anchor, cdr3), rf"^(.{{{shortest},}}).*\n\1", 1)
+
+
+def j_suffix(cdr3: Column, anchor: Column, shortest: int = ANCHOR_MIN_J, trailing: int = TRAILING) -> Column:
+    """The end of the sequence from the last place, at most ``trailing`` residues early, where
+    the longest possible tail of the anchor occurs; empty for none.
+
+    The same with both lines reversed: longer tails are tried first, then fewer extra residues.
+    """
+    lines = F.concat_ws("\n", F.reverse(anchor), F.reverse(cdr3))
+    pattern = rf"^(.{{{shortest},}}).*\n(.{{0,{trailing}}}?\1)"
+    return F.reverse(F.regexp_extract(lines, pattern, 2))
+
+
+def interior(cdr3: Column, prefix: Column, suffix: Column) -> Column:
+    """What lies between prefix and suffix; null when either is missing or they overlap."""
+    rest = F.length(cdr3) - F.length(prefix) - F.length(suffix)
+    fits = (F.length(prefix) > 0) & (F.length(suffix) > 0) & (rest >= 0)
+    return F.when(fits, F.substring(cdr3, F.length(prefix) + 1, rest))

@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from junctura.fixed import ANCHOR_FULL, ANCHOR_MAX, TRAILING
-from junctura.functions.parse import split_around
+from junctura.fixed import ANCHOR_FULL, ANCHOR_MAX, ANCHOR_MIN_J, ANCHOR_USABLE, TRAILING
+from junctura.functions.parse import interior, j_suffix, v_prefix
 from junctura.functions.sequence import kmers
 from junctura.operators.anchors import derive_anchors
 from junctura.session import stage
@@ -64,6 +64,28 @@ def with_anchors(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     return rows.join(by_v, "v", "left").join(by_j, "j", "left")
 
 
+def with_parts(rows: DataFrame, usable: int = ANCHOR_USABLE, min_v: int = 1, min_j: int = ANCHOR_MIN_J) -> DataFrame:
+    """Replace ``v_anchor`` and ``j_anchor`` by ``v_prefix``, ``n_region`` and ``j_suffix``.
+
+    All three are null unless both anchors have ``usable`` residues and the sequence parses.
+    """
+    cdr3, v, j = F.col("cdr3"), F.col("v_anchor"), F.col("j_anchor")
+    known = (F.length(v) >= usable) & (F.length(j) >= usable)
+    kept = [c for c in rows.columns if c not in ("v_anchor", "j_anchor")]
+    found = rows.select(
+        *kept,
+        F.when(known, v_prefix(cdr3, v, min_v)).alias("_v"),
+        F.when(known, j_suffix(cdr3, j, min_j)).alias("_j"),
+    ).select(*kept, "_v", "_j", interior(cdr3, F.col("_v"), F.col("_j")).alias("n_region"))
+    parsed = F.col("n_region").isNotNull()
+    return found.select(
+        *kept,
+        F.when(parsed, F.col("_v")).alias("v_prefix"),
+        "n_region",
+        F.when(parsed, F.col("_j")).alias("j_suffix"),
+    )
+
+
 def parse(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     """Every row with ``v_prefix``, ``n_region``, ``j_suffix`` and its ``status``.
 
@@ -73,20 +95,18 @@ def parse(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     """
     body = F.substring(F.col("cdr3"), F.lit(1), F.length("cdr3") - (TRAILING + 1))
     flagged = contains_full_j(rows, anchors, body, "_malformed")
-    parts = split_around(F.col("cdr3"), F.col("v_anchor"), F.col("j_anchor"))
-    return (
-        with_anchors(flagged, anchors)
-        .withColumn("_parts", F.when(~F.col("_malformed"), parts))
-        .select(
-            *rows.columns,
-            F.col("_parts.v_prefix").alias("v_prefix"),
-            F.col("_parts.n_region").alias("n_region"),
-            F.col("_parts.j_suffix").alias("j_suffix"),
-            F.when(F.col("_malformed"), "malformed")
-            .when(F.col("_parts").isNull(), "unparsed")
-            .otherwise("parsed")
-            .alias("status"),
-        )
+    anchored = with_anchors(flagged, anchors)
+    for side in ("v_anchor", "j_anchor"):
+        anchored = anchored.withColumn(side, F.when(~F.col("_malformed"), F.col(side)))
+    return with_parts(anchored).select(
+        *rows.columns,
+        "v_prefix",
+        "n_region",
+        "j_suffix",
+        F.when(F.col("_malformed"), "malformed")
+        .when(F.col("n_region").isNull(), "unparsed")
+        .otherwise("parsed")
+        .alias("status"),
     )
 
 

@@ -2,43 +2,38 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from junctura.fixed import HAND_J, HAND_V, TRAILING
-from junctura.functions.parse import split_around
-from junctura.functions.sequence import col
+from junctura.fixed import HAND_J, HAND_V
+from junctura.operators.annotate import with_parts
 from junctura.operators.ngrams import ngram_counts
 
 
-def _lookup(table: dict[str, list[str]], gene: Column) -> Column:
-    """The residues of a gene from the fixed table of about fifty genes; alleles share them."""
-    pairs = [(g, residues) for residues, genes in table.items() for g in genes]
-    by_gene = F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs)])
-    return F.try_element_at(by_gene, F.split_part(gene, F.lit("*"), F.lit(1)))
-
-
-def hand_split(cdr3: str | Column, v: str | Column, j: str | Column) -> Column:
-    """Parse with the fixed tables: a V prefix of two or more, a J suffix of one or more."""
-    text = col(cdr3)
-    parts = split_around(
-        text, _lookup(HAND_V, col(v)), _lookup(HAND_J, col(j)), min_v=2, min_j=1, usable=1, trailing=TRAILING
-    )
-    return F.when(F.length(text) >= 5, parts)
-
-
 def hand_parsed(records: DataFrame) -> DataFrame:
-    """Parsed parts of every record; null parts where the tables do not cover it."""
-    return records.select(
+    """Parts of every record by the fixed tables: a V prefix of two or more residues and a J
+    suffix of one or more; null where the tables do not cover it. Alleles share their gene's row.
+    """
+    rows = records.select(
         F.col("`antigen.epitope`").alias("epitope"),
         F.col("`cdr3.beta`").alias("cdr3"),
         F.col("`v.beta`").alias("v"),
         F.col("`j.beta`").alias("j"),
-        hand_split("`cdr3.beta`", "`v.beta`", "`j.beta`").alias("_p"),
-    ).select("epitope", "cdr3", "v", "j", "_p.*")
+    )
+    for side, table in (("v", HAND_V), ("j", HAND_J)):
+        pairs = [(g, residues) for residues, genes in table.items() for g in genes]
+        # A fixed table of at most some thirty genes.
+        genes = F.broadcast(
+            rows.sparkSession.createDataFrame(pairs, f"_{side} string, {side}_anchor string")
+        )
+        rows = (
+            rows.withColumn(f"_{side}", F.split_part(side, F.lit("*"), F.lit(1)))
+            .join(genes, f"_{side}", "left")
+            .drop(f"_{side}")
+            .withColumn(f"{side}_anchor", F.when(F.length("cdr3") >= 5, F.col(f"{side}_anchor")))
+        )
+    return with_parts(rows, usable=1, min_v=2, min_j=1)
 
 
 def summary(parsed: DataFrame) -> DataFrame:

@@ -21,7 +21,11 @@ nums AS (
 ), ends AS (
   SELECT *,
     substr('CASSCSARCSVGCAWSCATSCASRCSASCAIS', (vi * 4)::INT + 1, 4) v_full,
-    substr('YEQYFNEQFFDTQYFYGYTFTEAFFGELFF', (ji * 5)::INT + 1, 5) j_full
+    substr('YEQYFNEQFFDTQYFYGYTFTEAFFGELFF', (ji * 5)::INT + 1, 5) j_full,
+    CASE vi WHEN 0 THEN 'TRBV19' WHEN 1 THEN 'TRBV20-1' WHEN 2 THEN 'TRBV29-1' WHEN 3 THEN 'TRBV30'
+            WHEN 4 THEN 'TRBV15' WHEN 5 THEN 'TRBV27' WHEN 6 THEN 'TRBV5-9' ELSE 'TRBV10-3' END v_gene,
+    CASE ji WHEN 0 THEN 'TRBJ2-7' WHEN 1 THEN 'TRBJ2-1' WHEN 2 THEN 'TRBJ2-3' WHEN 3 THEN 'TRBJ1-2'
+            WHEN 4 THEN 'TRBJ1-1' ELSE 'TRBJ2-2' END j_gene
   FROM nums
 ), base AS (
   SELECT *,
@@ -33,8 +37,8 @@ nums AS (
     || CASE WHEN rid % 10007 % 11 = 0 THEN right(j_full, 4) ELSE j_full END
     || CASE WHEN rid % 10007 % 997 = 0 THEN 'GPG' || j_full
             WHEN rid % 10007 % 13 = 0 THEN 'F' ELSE '' END AS cdr3,
-    'TRBV' || (vi + 2) || CASE WHEN rid % 3 = 0 THEN '*01' ELSE '' END AS v_call,
-    'TRBJ' || (ji + 1) || CASE WHEN rid % 4 = 0 THEN '*01' ELSE '' END AS j_call
+    v_gene || CASE WHEN rid % 3 = 0 THEN '*01' ELSE '' END AS v_call,
+    j_gene || CASE WHEN rid % 4 = 0 THEN '*01' ELSE '' END AS j_call
   FROM ends
 )"""
 

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from junctura.fixed import RESIDUES
+from junctura.session import stage
 
 V_STARTS = "CASS CSAR CSVG CAWS CATS CASR CSAS CAIS".split()
 J_ENDS = "YEQYF NEQFF DTQYF YGYTF TEAFF GELFF".split()
+V_GENES = "TRBV19 TRBV20-1 TRBV29-1 TRBV30 TRBV15 TRBV27 TRBV5-9 TRBV10-3".split()
+J_GENES = "TRBJ2-7 TRBJ2-1 TRBJ2-3 TRBJ1-2 TRBJ1-1 TRBJ2-2".split()
 PEPTIDES = ["GILGFVFTL", "NLVPMVATV", "GLCTLVAML", "GILGFVFTV", "ELAGIGILTV"]
 
 
@@ -59,19 +62,20 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
         cdr3.alias("cdr3"),
         v_full.alias("v_full"),
         j_full.alias("j_full"),
-        F.concat(
-            F.lit("TRBV"), (vi + 2).cast("string"), F.when(rid % 3 == 0, "*01").otherwise("")
-        ).alias("v_call"),
-        F.concat(
-            F.lit("TRBJ"), (ji + 1).cast("string"), F.when(rid % 4 == 0, "*01").otherwise("")
-        ).alias("j_call"),
+        _entry(V_GENES, vi).alias("v_gene"),
+        _entry(J_GENES, ji).alias("j_gene"),
+        F.concat(_entry(V_GENES, vi), F.when(rid % 3 == 0, "*01").otherwise("")).alias("v_call"),
+        F.concat(_entry(J_GENES, ji), F.when(rid % 4 == 0, "*01").otherwise("")).alias("j_call"),
     )
 
 
 def receptor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw single-chain records with the usual blemishes: case, blanks, other species, gaps."""
+    """Raw single-chain records with the usual blemishes: case, blanks, other species, gaps.
+
+    They are written out, so that the analyses read them as they would read record files.
+    """
     ok, pk, rid = F.col("ok"), F.col("pk"), F.col("rid")
-    return _base(spark, sf_dir).select(
+    records = _base(spark, sf_dir).select(
         F.when(rid % 31 == 0, F.concat(F.lit(" "), F.lower("cdr3"), F.lit(" ")))
         .when(rid % 43 == 0, F.concat(F.col("cdr3"), F.lit("X")))
         .otherwise(F.col("cdr3"))
@@ -85,19 +89,20 @@ def receptor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("S"), (ok % 23).cast("string")))
         .alias("reference.id"),
     )
+    return stage(records)
 
 
 def segment_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Germline segment rows: the full and the shortened contribution of every gene seen."""
     base = _base(spark, sf_dir)
-    sides = [("V", "vi", 2, "TRBV", "v_full"), ("J", "ji", 1, "TRBJ", "j_full")]
+    sides = [("V", "v_gene", "v_full"), ("J", "j_gene", "j_full")]
     forms = [
         F.struct(
-            F.concat(F.lit(name), (F.col(index) + offset).cast("string")).alias("segm"),
+            F.col(gene).alias("segm"),
             part.alias("cdr3"),
             F.lit(side).alias("type"),
         )
-        for side, index, offset, name, full in sides
+        for side, gene, full in sides
         for part in (F.col(full), F.right(F.col(full), F.lit(3)))
     ]
     return (
@@ -123,7 +128,7 @@ def paired_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(start: Column, size: Column) -> Column:
         return F.substring(twice, start.cast("int"), size)
 
-    return (
+    return stage(
         _base(spark, sf_dir)
         .filter(in_test | (ok % 4 != 0) | (ei != 4))
         .select(
