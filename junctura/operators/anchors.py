@@ -15,27 +15,18 @@ def residue_counts(rows: DataFrame, max_anchor: int = ANCHOR_MAX) -> DataFrame:
     position counts only sequences at least two longer. The map-side combine leaves a handful
     of rows per gene, whatever the input size.
     """
-    size = F.length("cdr3")
     votes = [
-        F.struct(F.lit("V").alias("side"), F.col("v").alias("gene"), F.lit(-1).alias("k"), F.lit("").alias("aa")),
-        F.struct(F.lit("J").alias("side"), F.col("j").alias("gene"), F.lit(-1).alias("k"), F.lit("").alias("aa")),
+        f"named_struct('side', '{side}', 'gene', {gene}, 'k', -1, 'aa', '')"
+        for side, gene in (("V", "v"), ("J", "j"))
     ]
     for k in range(max_anchor):
-        ends = [("V", "v", F.substring("cdr3", k + 1, 1)), ("J", "j", F.substring("cdr3", -(k + 1), 1))]
-        for side, gene, aa in ends:
+        for side, gene, at in (("V", "v", k + 1), ("J", "j", -(k + 1))):
             votes.append(
-                F.when(
-                    size > k + 1,
-                    F.struct(
-                        F.lit(side).alias("side"),
-                        F.col(gene).alias("gene"),
-                        F.lit(k).alias("k"),
-                        aa.alias("aa"),
-                    ),
-                )
+                f"if(length(cdr3) > {k + 1}, named_struct('side', '{side}', 'gene', {gene}, "
+                f"'k', {k}, 'aa', substring(cdr3, {at}, 1)), null)"
             )
     return (
-        rows.select(F.explode(F.array(*votes)).alias("vote"))
+        rows.select(F.explode(F.expr(f"array({', '.join(votes)})")).alias("vote"))
         .filter(F.col("vote").isNotNull())
         .groupBy("vote.side", "vote.gene", "vote.k", "vote.aa")
         .agg(F.count("*").alias("n"))

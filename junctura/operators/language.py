@@ -114,18 +114,25 @@ def score_models(
     """
     train_text = train_text or text
     keys = list(keys)
-
-    pooled = stage(fit_bigrams(train, train_text, keys)).select(*keys, F.col("logp").alias("_pool"))
+    # One pass fits every model: a training row counts once for the pooled model and once for
+    # each label pair.
+    nothing = F.lit("")
+    sets = [("flat", nothing, nothing)] + [(n, F.col(a), F.col(b)) for n, (a, b) in labels.items()]
+    members = F.array(
+        *[F.struct(F.lit(n).alias("_m"), a.alias("_a"), b.alias("_b")) for n, a, b in sets]
+    )
+    fitted = stage(
+        fit_bigrams(
+            train.select(*keys, train_text, F.explode(members).alias("_s")).select(*keys, train_text, "_s.*"),
+            train_text,
+            [*keys, "_m", "_a", "_b"],
+        )
+    )
+    pooled = fitted.filter("_m = 'flat'").select(*keys, F.col("logp").alias("_pool"))
     scored = rows.join(pooled, keys, "left") if keys else rows.withColumn("_pool", pooled.scalar())
     scored = scored.withColumn("flat", bigram_logprob(text, "_pool")).drop("_pool")
     for name, (first, second) in labels.items():
-        model = stage(
-            fit_bigrams(
-                train.select(*keys, F.col(first).alias("_a"), F.col(second).alias("_b"), train_text),
-                train_text,
-                [*keys, "_a", "_b"],
-            )
-        )
+        model = fitted.filter(F.col("_m") == name).drop("_m")
         scored = (
             scored.withColumn("_a", F.col(first))
             .withColumn("_b", F.col(second))

@@ -46,7 +46,6 @@ def hash_rank(
     parts = [F.lit(str(s)) for s in salt] + [F.col(k) for k in key]
     rows = df.withColumn("_h", digest(*parts))
     sizes = df.groupBy(*group).agg(F.count("*").alias("size"))
-    sizes = stage(sizes) if group else sizes
     largest = sizes.agg(F.max("size")).first()[0] or 0
     if largest <= slice_rows:
         whole = W.partitionBy(*_grouped(group))
@@ -56,7 +55,7 @@ def hash_rank(
             F.count("*").over(whole).alias("size"),
         )
     slices = F.ceil(F.col("size") / slice_rows)
-    rows = rows.join(sizes, list(group)) if group else rows.withColumn("size", F.lit(largest))
+    rows = rows.join(stage(sizes), list(group)) if group else rows.withColumn("size", F.lit(largest))
     rows = rows.withColumn(
         "_slice", F.floor(digest_number(F.col("_h")) / F.lit(float(1 << 48)) * slices)
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,17 @@ J_GENES = "TRBJ2-7 TRBJ2-1 TRBJ2-3 TRBJ1-2 TRBJ1-1 TRBJ2-2".split()
 PEPTIDES = ["GILGFVFTL", "NLVPMVATV", "GLCTLVAML", "GILGFVFTV", "ELAGIGILTV"]
 
 
+_written: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Write derived records on first use in a session; later queries read them as files."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        _written[key] = stage(build())
+    return _written[key]
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -70,12 +83,13 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def receptor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw single-chain records with the usual blemishes: case, blanks, other species, gaps.
+    """Raw single-chain records with the usual blemishes: case, blanks, other species, gaps."""
+    return _once(spark, sf_dir, "receptors", lambda: _receptors(spark, sf_dir))
 
-    They are written out, so that the analyses read them as they would read record files.
-    """
+
+def _receptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok, pk, rid = F.col("ok"), F.col("pk"), F.col("rid")
-    records = _base(spark, sf_dir).select(
+    return _base(spark, sf_dir).select(
         F.when(rid % 31 == 0, F.concat(F.lit(" "), F.lower("cdr3"), F.lit(" ")))
         .when(rid % 43 == 0, F.concat(F.col("cdr3"), F.lit("X")))
         .otherwise(F.col("cdr3"))
@@ -89,7 +103,6 @@ def receptor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("S"), (ok % 23).cast("string")))
         .alias("reference.id"),
     )
-    return stage(records)
 
 
 def segment_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +128,10 @@ def segment_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paired_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct paired-chain rows. ``part`` is train or test; some peptides occur in test only."""
+    return _once(spark, sf_dir, "pairs", lambda: _pairs(spark, sf_dir))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok, pk, sk, rid, vi, ei = (F.col(c) for c in ("ok", "pk", "sk", "rid", "vi", "ei"))
     in_test = ok % 5 == 0
     label = F.when(~in_test | (rid % 6 == 0), 1).otherwise(0)
@@ -128,7 +145,7 @@ def paired_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(start: Column, size: Column) -> Column:
         return F.substring(twice, start.cast("int"), size)
 
-    return stage(
+    return (
         _base(spark, sf_dir)
         .filter(in_test | (ok % 4 != 0) | (ei != 4))
         .select(
