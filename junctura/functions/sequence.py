@@ -25,15 +25,12 @@ def base_gene(value: str | Column) -> Column:
 
 
 def kmers(value: str | Column, k: int) -> Column:
-    """Overlapping k-mers in order; empty for shorter or missing text."""
+    """Overlapping k-mers in order; empty for shorter or missing text.
+
+    A look-ahead captures ``k`` characters at every position, one pass over texts of any length.
+    """
     text = F.coalesce(col(value), F.lit(""))
-    return F.when(
-        F.length(text) >= k,
-        F.transform(
-            F.sequence(F.lit(1), F.length(text) - (k - 1)),
-            lambda i: F.substring(text, i, F.lit(k)),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{k}}}))."), F.lit(1))
 
 
 def trimmed(value: str | Column, left: Column, right: Column) -> Column:
@@ -47,15 +44,13 @@ def canonical(value: str | Column) -> Column:
 
 
 def transitions(value: str | Column) -> Column:
-    """Codes ``previous * 21 + next`` along the sequence, with 0 for both boundaries."""
-    text = col(value)
-    size = F.length(text)
-
-    def residue(i: Column) -> Column:
-        found = F.position(F.substring(text, i, F.lit(1)), F.lit(RESIDUES))
-        return F.when((i >= 1) & (i <= size), found).otherwise(0)
-
-    return F.transform(F.sequence(F.lit(0), size), lambda i: residue(i) * 21 + residue(i + 1))
+    """Codes ``previous * 27 + next`` along a sequence of capital letters A to Z (1 to 26),
+    with 0 for both boundaries."""
+    bounded = F.concat(F.lit("@"), col(value), F.lit("@"))
+    return F.transform(
+        kmers(bounded, 2),
+        lambda pair: (F.ascii(pair) - 64) * 27 + F.ascii(F.substring(pair, 2, 1)) - 64,
+    )
 
 
 def norm_sim(a: str | Column, b: str | Column) -> Column:

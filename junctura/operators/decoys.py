@@ -55,9 +55,11 @@ def with_resampled_decoy(
     table = stage(weights.agg(ranked.alias("ranked")).select(steps.alias("_steps")))
     total = F.get("_steps", F.size("_steps") - 1)["upto"]
 
-    def draw(i: Column) -> Column:
-        at = F.pmod(digest_number(digest(seed, F.lit("resample"), *key, i)), total)
-        return F.get(F.filter("_steps", lambda s: s["upto"] > at), F.lit(0))["aa"]
-
-    drawn = F.array_join(F.transform(kmers(text, 1), lambda _, i: draw(i)), "")
+    at = F.transform(
+        kmers(text, 1),
+        lambda _, i: F.pmod(digest_number(digest(seed, F.lit("resample"), *key, i)), total),
+    )
+    drawn = F.array_join(
+        F.transform(at, lambda u: F.get(F.filter("_steps", lambda s: s["upto"] > u), F.lit(0))["aa"]), ""
+    )
     return rows.withColumn("_steps", table.scalar()).withColumn(out, drawn).drop("_steps")

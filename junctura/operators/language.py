@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,12 +12,15 @@ from junctura.fixed import ADD_K, CONDITIONED_SHARE, LENGTH_SLOTS, PAIR_FLOOR, R
 from junctura.functions.sequence import col, transitions
 from junctura.session import stage
 
-# Residues plus the boundary.
-TOKENS = len(RESIDUES) + 1
+# Outcomes of a step: a residue or the end.
+VOCABULARY = len(RESIDUES) + 1
+# Transition codes are pairs of a letter number, or 0 for a boundary.
+LETTERS = 27
 
 
 def transition_counts(df: DataFrame, text: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Counts of every transition code by model key: at most 441 rows per key."""
+    """Counts of every transition code by model key: at most 441 rows per key, as there are
+    twenty residues and the boundary."""
     return (
         df.select(*keys, F.explode(transitions(text)).alias("code"))
         .groupBy(*keys, "code")
@@ -28,12 +32,12 @@ def bigram_counts(df: DataFrame, text: str, keys: Sequence[str] = ()) -> DataFra
     """The same with tokens spelled out, and the total of the previous token."""
 
     def token(code: Column, boundary: str) -> Column:
-        return F.when(code == 0, boundary).otherwise(F.substring(F.lit(RESIDUES), code, F.lit(1)))
+        return F.when(code == 0, boundary).otherwise(F.chr(code + 64))
 
     counts = stage(transition_counts(df, text, keys)).select(
         *keys,
-        token(F.floor(F.col("code") / TOKENS).cast("int"), "^").alias("prev"),
-        token(F.col("code") % TOKENS, "$").alias("next"),
+        token(F.floor(F.col("code") / LETTERS).cast("int"), "^").alias("prev"),
+        token(F.col("code") % LETTERS, "$").alias("next"),
         "n",
     )
     totals = counts.groupBy(*keys, "prev").agg(F.sum("n").alias("total"))
@@ -45,16 +49,16 @@ def fit_bigrams(df: DataFrame, text: str, keys: Sequence[str] = (), add_k: float
     counts = transition_counts(df, text, keys)
     entries = F.map_from_entries(F.collect_list(F.struct("code", "n")))
     packed = counts.groupBy(*keys).agg(entries.alias("m"))
-    codes = F.sequence(F.lit(0), F.lit(TOKENS * TOKENS - 1))
+    codes = F.sequence(F.lit(0), F.lit(LETTERS * LETTERS - 1))
 
     def seen(code: Column) -> Column:
         return F.coalesce(F.try_element_at(F.col("m"), code), F.lit(0))
 
     dense = packed.select(*keys, F.transform(codes, seen).alias("n"))
     sums = F.transform(
-        F.sequence(F.lit(0), F.lit(TOKENS - 1)),
+        F.sequence(F.lit(0), F.lit(LETTERS - 1)),
         lambda row: F.aggregate(
-            F.slice("n", row * TOKENS + 1, TOKENS), F.lit(0).cast("bigint"), lambda a, x: a + x
+            F.slice("n", row * LETTERS + 1, LETTERS), F.lit(0).cast("bigint"), lambda a, x: a + x
         ),
     )
     return dense.withColumn("sums", sums).select(
@@ -64,17 +68,22 @@ def fit_bigrams(df: DataFrame, text: str, keys: Sequence[str] = (), add_k: float
             "n",
             lambda n, code: F.log(
                 (n + add_k)
-                / (F.get("sums", F.floor(code / TOKENS).cast("int")) + add_k * TOKENS)
+                / (F.get("sums", F.floor(code / LETTERS).cast("int")) + add_k * VOCABULARY)
             ),
         ).alias("logp"),
     )
 
 
-def bigram_logprob(text: str | Column, logp: str | Column) -> Column:
-    """Log-probability of a sequence under the model held in ``logp``."""
-    return F.aggregate(
-        transitions(text), F.lit(0.0), lambda total, code: total + F.get(col(logp), code)
-    )
+def bigram_logprob(codes: str | Column, logp: str | Column) -> Column:
+    """Log-probability of a sequence, given its transitions, under the model in ``logp``.
+
+    Without a model every step is one of the equally likely outcomes.
+    """
+    untrained = F.lit(-math.log(VOCABULARY))
+    return F.when(
+        col(logp).isNotNull(),
+        F.aggregate(codes, F.lit(0.0), lambda total, code: total + F.get(col(logp), code)),
+    ).otherwise(F.size(codes) * untrained)
 
 
 def mixture(conditioned: Column, pooled: Column, sequences: Column, share: float = CONDITIONED_SHARE,
@@ -96,7 +105,7 @@ def fit_lengths(df: DataFrame, text: str, keys: Sequence[str] = ()) -> DataFrame
 
 
 def length_logprob(n: Column, total: Column) -> Column:
-    return F.log((F.coalesce(n, F.lit(0)) + ADD_K) / (total + ADD_K * LENGTH_SLOTS))
+    return F.log((F.coalesce(n, F.lit(0)) + ADD_K) / (F.coalesce(total, F.lit(0)) + ADD_K * LENGTH_SLOTS))
 
 
 def score_models(
@@ -110,7 +119,7 @@ def score_models(
     """Add ``flat`` and one conditioned score per entry of ``labels`` (name to its two columns).
 
     ``keys`` name independent experiments: each has its own models. The written model tables
-    hold 441 numbers per key, and their size decides between broadcast and shuffle.
+    hold 729 numbers per key, and their size decides between broadcast and shuffle.
     """
     train_text = train_text or text
     keys = list(keys)
@@ -129,18 +138,17 @@ def score_models(
         )
     )
     pooled = fitted.filter("_m = 'flat'").select(*keys, F.col("logp").alias("_pool"))
-    scored = rows.join(pooled, keys, "left") if keys else rows.withColumn("_pool", pooled.scalar())
-    scored = scored.withColumn("flat", bigram_logprob(text, "_pool")).drop("_pool")
+    coded = rows.withColumn("_codes", transitions(text))
+    scored = coded.join(pooled, keys, "left") if keys else coded.withColumn("_pool", pooled.scalar())
+    scored = scored.withColumn("flat", bigram_logprob("_codes", "_pool")).drop("_pool")
     for name, (first, second) in labels.items():
         model = fitted.filter(F.col("_m") == name).drop("_m")
         scored = (
             scored.withColumn("_a", F.col(first))
             .withColumn("_b", F.col(second))
             .join(model, [*keys, "_a", "_b"], "left")
-            .withColumn(
-                name,
-                mixture(bigram_logprob(text, "logp"), F.col("flat"), F.col("sequences")),
-            )
-            .drop("_a", "_b", "logp", "sequences")
+            .withColumn("_own", bigram_logprob("_codes", "logp"))
+            .withColumn(name, mixture(F.col("_own"), F.col("flat"), F.col("sequences")))
+            .drop("_a", "_b", "logp", "sequences", "_own")
         )
-    return scored
+    return scored.drop("_codes")

@@ -419,10 +419,10 @@ lens_total AS (SELECT trim, sum(n) total FROM lens GROUP BY trim),
 wide AS (
   SELECT {', '.join('pairs.' + c for c in (*KEY, 'trim', 'decoy', 'label'))}, f.lp flat,
     {mixed('c.lp', 'f.lp', 'c.seqs')} morpheme, {mixed('z.lp', 'f.lp', 'z.seqs')} permuted,
-    ln((coalesce(lens.n, 0) + 0.5::DOUBLE) / (lens_total.total + 20)) AS length
+    ln((coalesce(lens.n, 0) + 0.5::DOUBLE) / (coalesce(lens_total.total, 0) + 20)) AS length
   FROM f JOIN c USING ({row}) JOIN z USING ({row}) JOIN pairs USING ({row})
   LEFT JOIN lens ON lens.trim = pairs.trim AND lens.len = length(txt)
-  JOIN lens_total ON lens_total.trim = pairs.trim
+  LEFT JOIN lens_total ON lens_total.trim = pairs.trim
 )"""
     return body + """, long AS (
   UNPIVOT (SELECT cdr3, v, j, epitope, trim, decoy, label, round(flat, 9) flat, round(morpheme, 9) morpheme,
@@ -797,7 +797,7 @@ add(
     f"""{PAIRED}, src AS (
       SELECT upper("CDR3b") cdr3, trim(split_part("Vb", '*', 1)) v, trim(split_part("Jb", '*', 1)) j FROM train
     ), tst AS (
-      SELECT *, upper("CDR3b") cdr3, trim(split_part("Vb", '*', 1)) v, trim(split_part("Jb", '*', 1)) j FROM test
+      SELECT * EXCLUDE ("Va", "Ja"), upper("CDR3b") cdr3, trim(split_part("Vb", '*', 1)) v, trim(split_part("Jb", '*', 1)) j FROM test
     ), {anchors_from('src', 10)}, {parse_from('tst').replace("WHEN malformed THEN 'malformed'", "WHEN false THEN ''")}""",
 )
 add(

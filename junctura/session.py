@@ -49,5 +49,16 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Keep as many files as there are cores even for a small table, so that the work that follows
+    # runs in parallel; this changes nothing for a table larger than a few megabytes.
+    least = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    kept = spark.conf.get(least, None)
+    spark.conf.set(least, "32KB")
+    try:
+        df.write.parquet(path)
+    finally:
+        if kept is None:
+            spark.conf.unset(least)
+        else:
+            spark.conf.set(least, kept)
     return spark.read.schema(df.schema).parquet(path)

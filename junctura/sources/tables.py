@@ -24,7 +24,7 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataF
     """Write derived records on first use in a session; later queries read them as files."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
-        _written[key] = stage(build())
+        _written[key] = stage(build().repartition(spark.sparkContext.defaultParallelism))
     return _written[key]
 
 
