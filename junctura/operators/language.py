@@ -46,32 +46,31 @@ def bigram_counts(df: DataFrame, text: str, keys: Sequence[str] = ()) -> DataFra
 
 def fit_bigrams(df: DataFrame, text: str, keys: Sequence[str] = (), add_k: float = ADD_K) -> DataFrame:
     """One row per model key: training sequences, and log-probabilities by transition code."""
-    counts = transition_counts(df, text, keys)
-    entries = F.map_from_entries(F.collect_list(F.struct("code", "n")))
-    packed = counts.groupBy(*keys).agg(entries.alias("m"))
-    codes = F.sequence(F.lit(0), F.lit(LETTERS * LETTERS - 1))
-
-    def seen(code: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.col("m"), code), F.lit(0))
-
-    dense = packed.select(*keys, F.transform(codes, seen).alias("n"))
-    sums = F.transform(
-        F.sequence(F.lit(0), F.lit(LETTERS - 1)),
-        lambda row: F.aggregate(
-            F.slice("n", row * LETTERS + 1, LETTERS), F.lit(0).cast("bigint"), lambda a, x: a + x
-        ),
-    )
-    return dense.withColumn("sums", sums).select(
+    letters = F.sequence(F.lit(0), F.lit(LETTERS - 1))
+    counts = transition_counts(df, text, keys).select(
         *keys,
-        F.get("sums", F.lit(0)).alias("sequences"),
-        F.transform(
-            "n",
-            lambda n, code: F.log(
-                (n + add_k)
-                / (F.get("sums", F.floor(code / LETTERS).cast("int")) + add_k * VOCABULARY)
-            ),
-        ).alias("logp"),
+        F.floor(F.col("code") / LETTERS).cast("int").alias("prev"),
+        (F.col("code") % LETTERS).alias("next"),
+        "n",
+    )
+
+    def step(at: Column) -> Column:
+        n = F.coalesce(F.try_element_at("m", at), F.lit(0))
+        return F.log((n + add_k) / (F.col("total") + add_k * VOCABULARY))
+
+    # At most 21 outcomes per previous token, then at most 21 previous tokens per model.
+    by_prev = (
+        counts.groupBy(*keys, "prev")
+        .agg(F.map_from_entries(F.collect_list(F.struct("next", "n"))).alias("m"), F.sum("n").alias("total"))
+        .select(*keys, "prev", "total", F.transform(letters, step).alias("row"))
+    )
+    unseen = F.array_repeat(F.lit(-math.log(VOCABULARY)), LETTERS)
+    by_model = by_prev.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("prev", "row"))).alias("m"),
+        F.max(F.when(F.col("prev") == 0, F.col("total"))).alias("sequences"),
     )
+    rows = F.transform(letters, lambda at: F.coalesce(F.try_element_at("m", at), unseen))
+    return by_model.select(*keys, "sequences", F.flatten(rows).alias("logp"))
 
 
 def bigram_logprob(codes: str | Column, logp: str | Column) -> Column:
