@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from junctura.fixed import EPITOPE_CAP, EPITOPES, EPOCHS, HASH_BITS, L2, LEARNING_RATE, SEED
+from junctura.functions.features import buckets
 from junctura.session import stage
 
 # Most examples one sequential fit may hold: every capped group, with one negative per positive.
@@ -75,11 +76,9 @@ def sequential_fits(
     return rows.groupBy(*by).applyInPandas(learn, schema)
 
 
-def _vectors(df: DataFrame, tokens: str, bits: int) -> DataFrame:
-    """Token counts by hash, with a constant last entry that plays the intercept."""
-    hashed = HashingTF(numFeatures=1 << bits, inputCol=tokens, outputCol="_tf").transform(df)
-    assembler = VectorAssembler(inputCols=["_tf", "_one"], outputCol="features")
-    return assembler.transform(hashed.withColumn("_one", F.lit(1.0))).drop("_tf", "_one")
+def _bucketed(df: DataFrame, tokens: str, bits: int) -> DataFrame:
+    words = F.transform(buckets(tokens, bits), lambda b: b.cast("string"))
+    return df.withColumn("_words", words).withColumn("_one", F.lit(1.0))
 
 
 def fit_logistic(
@@ -96,21 +95,26 @@ def fit_logistic(
     The penalty covers the intercept as well, carried by a constant feature, and is stated per
     summed loss: ``C`` of the usual form becomes ``1 / (C n)`` for the mean loss.
     """
-    fitted_on = _vectors(train.select(tokens, F.col(label).cast("double").alias("label")), tokens, bits)
-    rows = fitted_on.select("label", "features").persist()
+    examples = _bucketed(train.select(tokens, F.col(label).cast("double").alias("label")), tokens, bits)
+    examples = examples.select("label", "_words", "_one").persist()
     try:
+        # Buckets that no training row fills would keep a weight of zero, so they get no column.
+        counter = CountVectorizer(inputCol="_words", outputCol="_tf", vocabSize=1 << bits).fit(examples)
+        # The constant last entry plays the intercept.
+        assembler = VectorAssembler(inputCols=["_tf", "_one"], outputCol="features")
+        rows = assembler.transform(counter.transform(examples)).select("label", "features")
         model = LogisticRegression(
-            regParam=1.0 / (inverse_penalty * max(rows.count(), 1)),
+            regParam=1.0 / (inverse_penalty * max(examples.count(), 1)),
             elasticNetParam=0.0,
             standardization=False,
             fitIntercept=False,
             maxIter=max_iter,
         ).fit(rows)
     finally:
-        rows.unpersist()
-    scored = model.setPredictionCol("").setProbabilityCol("").setRawPredictionCol("_raw")
+        examples.unpersist()
+    scorer = model.setPredictionCol("").setProbabilityCol("").setRawPredictionCol("_raw")
     return (
-        scored.transform(_vectors(test, tokens, bits))
+        scorer.transform(assembler.transform(counter.transform(_bucketed(test, tokens, bits))))
         .withColumn("score", vector_to_array("_raw")[1])
-        .drop("features", "_raw")
+        .drop("features", "_raw", "_words", "_one", "_tf")
     )
