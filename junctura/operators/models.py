@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, Interaction, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,13 +96,24 @@ def fit_logistic(
     summed loss: ``C`` of the usual form becomes ``1 / (C n)`` for the mean loss.
     """
     examples = _bucketed(train.select(tokens, F.col(label).cast("double").alias("label")), tokens, bits)
-    examples = examples.select("label", "_words", "_one").persist()
+    # The estimator drops constant columns. Turning an example and its label round leaves the
+    # loss as it is, so half of the examples are turned and the constant becomes plus or minus one.
+    turned = F.pmod(F.xxhash64("_words", "label"), F.lit(2)) == 1
+    examples = examples.select(
+        F.when(turned, 1.0 - F.col("label")).otherwise(F.col("label")).alias("label"),
+        F.when(turned, -1.0).otherwise(1.0).alias("_sign"),
+        "_words",
+        "_one",
+    ).persist()
     try:
         # Buckets that no training row fills would keep a weight of zero, so they get no column.
         counter = CountVectorizer(inputCol="_words", outputCol="_tf", vocabSize=1 << bits).fit(examples)
         # The constant last entry plays the intercept.
         assembler = VectorAssembler(inputCols=["_tf", "_one"], outputCol="features")
-        rows = assembler.transform(counter.transform(examples)).select("label", "features")
+        signed = Interaction(inputCols=["_sign", "features"], outputCol="_signed")
+        rows = signed.transform(assembler.transform(counter.transform(examples))).select(
+            "label", F.col("_signed").alias("features")
+        )
         model = LogisticRegression(
             regParam=1.0 / (inverse_penalty * max(examples.count(), 1)),
             elasticNetParam=0.0,

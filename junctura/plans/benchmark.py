@@ -116,6 +116,10 @@ def compare_arms(per_peptide: DataFrame, a: str, b: str, seed: int = SEED) -> Da
 
 def per_peptide_document(per_peptide: DataFrame) -> DataFrame:
     """One row shaped like the published JSON: seen and unseen peptides, scores by arm."""
+
+    def by_name(a: Column, b: Column) -> Column:
+        return F.when(a["arm"] < b["arm"], -1).otherwise(1)
+
     by_arm = per_peptide.groupBy("arm").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("Peptide", "auc01")))).alias("scores"),
         F.array_sort(F.collect_set(F.when(F.col("seen"), F.col("Peptide")))).alias("s"),
@@ -124,7 +128,7 @@ def per_peptide_document(per_peptide: DataFrame) -> DataFrame:
     return by_arm.agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("seen_peptides"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("u")))).alias("unseen_peptides"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("arm", "scores")))).alias("per_peptide"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("arm", "scores")), by_name)).alias("per_peptide"),
     )
 
 
