@@ -24,7 +24,7 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataF
     """Write derived records on first use in a session; later queries read them as files."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
-        _written[key] = stage(build().repartition(spark.sparkContext.defaultParallelism))
+        _written[key] = stage(build())
     return _written[key]
 
 
@@ -52,6 +52,10 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
         (pk % 6).alias("ji"),
         ((pk + sk) % 5).alias("ei"),
     )
+    # A small file is a single split; spread its rows so that deriving them uses every core.
+    cores = spark.sparkContext.defaultParallelism
+    if numbers.rdd.getNumPartitions() < cores:
+        numbers = numbers.repartition(cores)
     ok, pk, rid, vi, ji, ei = (F.col(c) for c in ("ok", "pk", "rid", "vi", "ji", "ei"))
     v_full, j_full = _entry(V_STARTS, vi), _entry(J_ENDS, ji)
     r0 = rid % 10007
