@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from junctura.llm.exact_dedup import exact_groups
 from junctura.llm.mixing import mix
+from junctura.llm.packing import pack
 from junctura.llm.quality import judge, verdict_sql
 from junctura.llm.simhash import near_groups
 
@@ -37,6 +39,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +51,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_packing": op5_packing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
