@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from junctura.llm.chat import conversation_digests, format_turns
 from junctura.llm.exact_dedup import exact_groups
 from junctura.llm.mixing import mix
 from junctura.llm.packing import pack
 from junctura.llm.quality import judge, verdict_sql
+from junctura.llm.shared import stage
 from junctura.llm.simhash import near_groups
 from junctura.llm.warc import round_trip
 
@@ -63,6 +65,17 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
+# A conversation whose texts hold the template's own marks.
+TRAP = r"\### Assistant: </turn> ok"
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], conversations.schema)
+    formatted = stage(format_turns(conversations.unionByName(trap)), "formatted")
+    return conversation_digests(formatted).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
@@ -70,6 +83,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL = {
@@ -84,4 +98,27 @@ ORACLE_SQL = {
         FROM t JOIN g USING (content)
     """,
     "op4_quality_rules": verdict_sql(),
+    "op10_chat_format": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ), f AS (
+            SELECT *, CASE
+                WHEN contains(text, '\###') OR contains(text, '\</turn>') OR contains(text, '\\')
+                    THEN regexp_replace(replace(text, '\', '\\'), '(###|</turn>)', '\\\1', 'g')
+                ELSE regexp_replace(text, '(###|</turn>)', '\\\1', 'g')
+            END AS body
+            FROM c
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text)
+                      FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(length(body) + 15 + CASE WHEN role IN ('system', 'user', 'assistant', 'tool')
+                   THEN length(role) ELSE 1 + length(role) + length(regexp_replace(role, '[^\\:]', '', 'g'))
+                   END)::BIGINT AS formatted_chars
+        FROM f GROUP BY conv_id
+    """,
 }
