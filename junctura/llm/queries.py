@@ -13,6 +13,7 @@ from junctura.llm.packing import pack
 from junctura.llm.quality import judge, verdict_sql
 from junctura.llm.shared import stage
 from junctura.llm.simhash import near_groups
+from junctura.llm.token_count import token_counts
 from junctura.llm.warc import round_trip
 
 
@@ -61,6 +62,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
+    "op7_token_counts": op7_token_counts,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_chat_format": op10_chat_format,
 }
