@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from junctura.llm.chat import conversation_digests, format_turns
 from junctura.llm.exact_dedup import exact_groups
+from junctura.llm.langid import fit, identify
 from junctura.llm.mixing import mix
 from junctura.llm.packing import pack
 from junctura.llm.quality import judge, verdict_sql
@@ -62,6 +63,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = fit(docs.filter(~held_out).select("doc_id", "text", "lang"))
+    return identify(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -87,6 +97,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_chat_format": op10_chat_format,
