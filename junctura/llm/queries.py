@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from junctura.llm.chat import conversation_digests, format_turns
 from junctura.llm.exact_dedup import exact_groups
+from junctura.llm.html_text import extract
 from junctura.llm.langid import fit, identify
 from junctura.llm.mixing import mix
 from junctura.llm.packing import pack
@@ -76,6 +77,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages, out="text").withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
@@ -99,6 +105,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
+    "op8_html_extraction": op8_html_extraction,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_chat_format": op10_chat_format,
 }
