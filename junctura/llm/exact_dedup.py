@@ -2,15 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from junctura.llm.shared import SPACES, text_or_empty
+from junctura.llm.shared import SPACES, packed, stage, text_or_empty
 
 # Salts over which the copies of one text are spread before the last merge.
 SALTS = 32
 
 
+def _content(text: str) -> Column:
+    return F.regexp_replace(text_or_empty(f"`{text}`"), SPACES, " ")
+
+
+def _grouped(docs: DataFrame, key: str, text: str, salts: int) -> DataFrame:
+    named = docs.select(F.col(f"`{key}`").alias("key"), _content(text).alias("content")).withColumn(
+        "digest", F.unhex(F.sha2("content", 256))
+    )
+    salted = named.withColumn("salt", F.spark_partition_id() % salts)
+    merged = salted.groupBy("digest", "salt", "content").agg(
+        F.min("key").alias("low"), F.count(F.lit(1)).alias("size")
+    )
+    groups = (
+        merged.groupBy("digest", "content")
+        .agg(F.min("low").alias("keep_id"), F.sum("size").alias("group_size"))
+        # Distinct texts with one digest stay apart: a second one tells a row which text it has.
+        .select("digest", F.xxhash64("content").alias("check"), "keep_id", "group_size")
+    )
+    rows = named.select("key", "digest", F.xxhash64("content").alias("check"))
+    return rows.join(groups, ["digest", "check"]).withColumn(
+        "kept", F.col("key").eqNullSafe(F.col("keep_id"))
+    )
+
+
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
     """One row per row of ``docs``: key, keep_id, group_size, kept, text_sha256.
 
@@ -26,32 +50,39 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", salts
     apart by nothing, so exactly one of them would be arbitrary: all of them are marked kept.
     An empty table gives no rows. Other columns are ignored, whatever their names.
     """
-    named = docs.select(
-        F.col(key).alias("key"),
-        F.regexp_replace(text_or_empty(text), SPACES, " ").alias("content"),
-    ).withColumn("digest", F.unhex(F.sha2("content", 256)))
-    salted = named.withColumn("salt", F.spark_partition_id() % salts)
-    merged = salted.groupBy("digest", "salt", "content").agg(
-        F.min("key").alias("low"), F.count(F.lit(1)).alias("size")
-    )
-    groups = (
-        merged.groupBy("digest", "content")
-        .agg(F.min("low").alias("keep_id"), F.sum("size").alias("group_size"))
-        # Distinct texts with one digest stay apart: their number tells a row which text it has.
-        .select("digest", F.xxhash64("content").alias("check"), "keep_id", "group_size")
-    )
-    rows = named.select("key", "digest", F.xxhash64("content").alias("check"))
-    return rows.join(groups, ["digest", "check"]).select(
+    return _grouped(docs, key, text, salts).select(
         F.col("key").alias(key),
         "keep_id",
         "group_size",
-        F.col("key").eqNullSafe(F.col("keep_id")).alias("kept"),
+        "kept",
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
-def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns as they are."""
-    groups = exact_groups(docs, key, text)
-    stay = groups.filter("kept").select(F.col(key).alias("_stay")).distinct()
-    return docs.join(stay, F.col(key).eqNullSafe(F.col("_stay")), "left_semi")
+def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
+    """One row of ``docs`` for each text, with its columns as they are.
+
+    It is the row with the smallest key; of rows that repeat this key and text one stays, and which
+    of them is arbitrary if other columns differ. Only keys and digests of rows that can't simply
+    stay are joined back.
+    """
+    groups = _grouped(docs, key, text, salts)
+    # Rows to drop, and keys that several rows of one text have.
+    marked = stage(
+        groups.filter(F.col("group_size") > 1)
+        .groupBy("key", "check", "kept")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .filter(~F.col("kept") | (F.col("rows") > 1)),
+        "marked",
+    )
+    rows = packed(docs, key=F.col(f"`{key}`"), check=F.xxhash64(_content(text)))
+
+    def match(others: DataFrame) -> Column:
+        return rows.key.eqNullSafe(others.key) & (rows.check == others.check)
+
+    plain = rows.join(marked, match(marked), "left_anti").select("doc.*")
+    repeated = marked.filter("kept")
+    if repeated.isEmpty():
+        return plain
+    once = rows.join(repeated, match(repeated), "left_semi").groupBy("key", "check").agg(F.first("doc").alias("doc"))
+    return plain.unionByName(once.select("doc.*"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from junctura.llm.shared import WORDS, stage, text_or_empty
+from junctura.llm.shared import WORDS, packed, stage, text_or_empty
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
@@ -207,13 +207,15 @@ def _choose(rows: DataFrame, plan: DataFrame, key: str, seed: int, slice_rows: i
     )
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their columns as they are."""
-    chosen = mix(docs, key, text, source).filter("copies > 0").select(F.col(key).alias("_key"), "copies")
-    # Repeated keys each keep their own number of copies only in sum, so they are evened out.
-    chosen = chosen.groupBy("_key").agg(F.max("copies").alias("_copies"))
-    return (
-        docs.join(chosen, F.equal_null(F.col(f"`{key}`"), F.col("_key")))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+def mixed_documents(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source"
+) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with their columns as they are.
+
+    Rows that share a key share the largest of their numbers of copies.
+    """
+    chosen = mix(docs, key, text, source).groupBy(F.col(key).alias("key")).agg(F.max("copies").alias("copies"))
+    chosen = chosen.filter("copies > 0")
+    rows = packed(docs, key=F.col(f"`{key}`"))
+    taken = rows.join(chosen, rows.key.eqNullSafe(chosen.key)).select("doc", "copies")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

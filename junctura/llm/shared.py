@@ -53,3 +53,9 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` as a struct ``doc`` beside ``columns``, so that no other name can clash with its own."""
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc")
+    return df.select(own, *[c.alias(name) for name, c in columns.items()])

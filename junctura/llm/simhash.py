@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from junctura.llm.components import components
-from junctura.llm.shared import stage
+from junctura.llm.shared import packed, stage
 
 BITS = 64
 SHINGLE = 3
@@ -188,7 +188,11 @@ def near_groups(
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row with the smallest key of each component, with its columns as they are."""
-    groups = near_groups(docs, key, text)
-    stay = groups.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_stay"))
-    return docs.join(stay.distinct(), F.col(key).eqNullSafe(F.col("_stay")), "left_semi")
+    """The row with the smallest key of each component, with its columns as they are.
+
+    Rows that repeat that key all stay; drop exact copies first. Only the keys to drop are joined back.
+    """
+    gone = near_groups(docs, key, text).filter(~F.col(key).eqNullSafe(F.col("component_id")))
+    gone = stage(gone.select(F.col(key).alias("key")).distinct(), "gone")
+    rows = packed(docs, key=F.col(f"`{key}`"))
+    return rows.join(gone, rows.key.eqNullSafe(gone.key), "left_anti").select("doc.*")
