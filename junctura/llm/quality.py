@@ -148,7 +148,13 @@ def judge(
     rows are judged alike, and columns with any name are carried in ``doc``. Everything is one
     projection without a shuffle; a row needs memory in proportion to its own text.
     """
+    # Spark moves no filter below a value that depends on the partition. Without that, a filter on
+    # the verdict would be rewritten over the texts, with the arrays computed again in each lambda.
     measured = _metrics(docs, text)
+    names = [c for c in measured.columns if c != "doc"]
+    measured = measured.select(
+        "doc", F.struct(*names, F.spark_partition_id().alias("partition")).alias("measures")
+    ).select("doc", *[F.col(f"measures.{c}") for c in names])
     named = [F.when(_fails(r), F.lit(r.name)) for r in (*base, *rules)]
     any_base = reduce(lambda a, b: a | b, [_fails(r) for r in base], F.lit(False))
     any_rule = reduce(lambda a, b: a | b, [_fails(r) for r in rules], F.lit(False))
