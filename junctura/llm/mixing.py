@@ -179,15 +179,14 @@ def _choose(rows: DataFrame, plan: DataFrame, key: str, seed: int, slice_rows: i
     # The upper 31 bits of the digest are uniform, so equal ranges of them hold about equally many.
     digest = F.xxhash64(F.lit(seed), F.col("key"))
     slices = F.ceil(F.col("n") / slice_rows)
-    joined = joined.withColumn("digest", digest).withColumn(
-        "slice", F.shiftright(F.shiftrightunsigned("digest", 33) * slices, 31)
-    )
+    joined = joined.withColumn("digest", digest).withColumn("upper", F.shiftrightunsigned("digest", 33))
+    joined = joined.withColumn("slice", F.shiftright(F.col("upper") * slices, 31))
     counted = joined.groupBy("source", "length", "slice").agg(F.count(F.lit(1)).alias("in_slice"))
     before = F.sum("in_slice").over(
         W.partitionBy("source", "length").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     )
     offsets = counted.select("source", "length", "slice", F.coalesce(before, F.lit(0)).alias("before"))
-    local = F.row_number().over(W.partitionBy("source", "length", "slice").orderBy("digest", "key"))
+    local = F.row_number().over(W.partitionBy("source", "length", "slice").orderBy("upper", "digest", "key"))
     ranked = joined.withColumn("local", local)
     keyed = (
         F.equal_null(ranked.source, offsets.source)
