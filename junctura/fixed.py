@@ -33,6 +33,8 @@ PAIR_FLOOR = 20
 LENGTH_SLOTS = 40
 DECOY_TRIES = 10
 GAP_RESAMPLES = 200
+# Places of the interval's ends among the sorted resamples, from 0.
+GAP_PLACES = (5, 195)
 TRIMS = [
     ("none", 0, 0),
     ("both ends, 1", 1, 1),
@@ -60,6 +62,7 @@ CROSS_CAP = 14
 REGION_LENGTH_CAP = 12
 EPITOPE_CLASS_FLOOR = 30
 MEAN_RESAMPLES = 2000
+MEAN_PLACES = (50, 1949)
 
 # Paired-chain benchmark.
 NEGATIVES = 5
@@ -78,31 +81,60 @@ FRACTIONS = [0.10, 0.20, 0.35, 0.50, 0.75, 1.00]
 CURVE_SEEDS = 2
 CURVE_GROUP_FLOOR = 20
 
-# Hand-made germline tables of the first, superseded parse.
+# Text checks.
+BULLET_CHARS = 85
+BULLETS_LEAST = 3
+BULLETS_MOST = 5
+BULLET_EXCLUDED = ["Bullet", "If the journal", "Avoid the"]
+
+# Hand-made germline tables of the first, superseded parse: residues by gene.
 HAND_V = {
-    "CASS": [
-        "TRBV2", "TRBV4-1", "TRBV4-2", "TRBV4-3", "TRBV5-1", "TRBV5-6", "TRBV5-8",
-        "TRBV6-1", "TRBV6-2", "TRBV6-4", "TRBV6-5", "TRBV6-6", "TRBV7-2", "TRBV7-6",
-        "TRBV7-8", "TRBV7-9", "TRBV9", "TRBV10-3", "TRBV11-2", "TRBV12-3", "TRBV12-4",
-        "TRBV13", "TRBV14", "TRBV19", "TRBV19-1", "TRBV25-1", "TRBV27", "TRBV28",
-    ],
-    "CSAR": ["TRBV20-1"],
-    "CSVG": ["TRBV29-1"],
-    "CAWS": ["TRBV30"],
-    "CATS": ["TRBV15", "TRBV24-1"],
+    "TRBV2": "CASS",
+    "TRBV4-1": "CASS",
+    "TRBV4-2": "CASS",
+    "TRBV4-3": "CASS",
+    "TRBV5-1": "CASS",
+    "TRBV5-6": "CASS",
+    "TRBV5-8": "CASS",
+    "TRBV6-1": "CASS",
+    "TRBV6-2": "CASS",
+    "TRBV6-4": "CASS",
+    "TRBV6-5": "CASS",
+    "TRBV6-6": "CASS",
+    "TRBV7-2": "CASS",
+    "TRBV7-6": "CASS",
+    "TRBV7-8": "CASS",
+    "TRBV7-9": "CASS",
+    "TRBV9": "CASS",
+    "TRBV10-3": "CASS",
+    "TRBV11-2": "CASS",
+    "TRBV12-3": "CASS",
+    "TRBV12-4": "CASS",
+    "TRBV13": "CASS",
+    "TRBV14": "CASS",
+    "TRBV15": "CATS",
+    "TRBV19": "CASS",
+    "TRBV19-1": "CASS",
+    "TRBV20-1": "CSAR",
+    "TRBV24-1": "CATS",
+    "TRBV25-1": "CASS",
+    "TRBV27": "CASS",
+    "TRBV28": "CASS",
+    "TRBV29-1": "CSVG",
+    "TRBV30": "CAWS",
 }
 HAND_J = {
-    "TEAFF": ["TRBJ1-1"],
-    "YGYTF": ["TRBJ1-2"],
-    "NTIYF": ["TRBJ1-3"],
-    "NEKLF": ["TRBJ1-4"],
-    "QPQHF": ["TRBJ1-5"],
-    "SPLYF": ["TRBJ1-6"],
-    "NEQFF": ["TRBJ2-1"],
-    "GELFF": ["TRBJ2-2"],
-    "DTQYF": ["TRBJ2-3"],
-    "KNIQYF": ["TRBJ2-4"],
-    "ETQYF": ["TRBJ2-5"],
-    "NVLTF": ["TRBJ2-6"],
-    "YEQYF": ["TRBJ2-7"],
+    "TRBJ1-1": "TEAFF",
+    "TRBJ1-2": "YGYTF",
+    "TRBJ1-3": "NTIYF",
+    "TRBJ1-4": "NEKLF",
+    "TRBJ1-5": "QPQHF",
+    "TRBJ1-6": "SPLYF",
+    "TRBJ2-1": "NEQFF",
+    "TRBJ2-2": "GELFF",
+    "TRBJ2-3": "DTQYF",
+    "TRBJ2-4": "KNIQYF",
+    "TRBJ2-5": "ETQYF",
+    "TRBJ2-6": "NVLTF",
+    "TRBJ2-7": "YEQYF",
 }

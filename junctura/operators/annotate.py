@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from junctura.fixed import ANCHOR_FULL, ANCHOR_MAX, ANCHOR_MIN_J, ANCHOR_USABLE, TRAILING
+from junctura.fixed import ANCHOR_FULL, ANCHOR_MIN_J, ANCHOR_USABLE, TRAILING
 from junctura.functions.parse import interior, j_suffix, v_prefix
-from junctura.functions.sequence import kmers
 from junctura.operators.anchors import derive_anchors
 from junctura.session import stage
 
-# Up to this many distinct full J anchors fit one pattern; more are matched by a join.
-PATTERN_ANCHORS = 512
-
 
 def _full_j(anchors: DataFrame) -> DataFrame:
     return (
@@ -25,26 +19,29 @@ def _full_j(anchors: DataFrame) -> DataFrame:
     )
 
 
-def _pieces_of(text: Column) -> Column:
-    """Distinct substrings of every length an anchor can have."""
-    return F.array_distinct(
-        F.concat(*[kmers(text, n) for n in range(ANCHOR_FULL, ANCHOR_MAX + 1)])
-    )
+def _pieces_of(text: Column, lengths: Column) -> Column:
+    """Distinct substrings of the given lengths."""
+
+    def of_length(n: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(text) - n + 1)
+        found = F.transform(starts, lambda i: F.substring(text, i, n))
+        return F.when(F.length(text) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
 
 
 def contains_full_j(rows: DataFrame, anchors: DataFrame, text: Column, flag: str) -> DataFrame:
-    """Flag rows whose ``text`` contains any J anchor of at least four residues."""
+    """Flag rows whose ``text`` contains any J anchor of at least four residues.
+
+    Each distinct text lists its substrings of the lengths that anchors have, and those that are
+    anchors are found by an equi-join, whatever the number of anchors.
+    """
     full = _full_j(anchors)
-    found = [r["anchor"] for r in full.limit(PATTERN_ANCHORS + 1).collect()]
-    if not found:
-        return rows.withColumn(flag, F.lit(False))
-    if len(found) <= PATTERN_ANCHORS:
-        pattern = "|".join(re.escape(a) for a in sorted(found))
-        return rows.withColumn(flag, F.coalesce(text.rlike(pattern), F.lit(False)))
-    # Too many for one pattern: test every substring of a possible length by an equi-join.
-    texts = rows.select(text.alias("_text")).distinct()
+    lengths = full.agg(F.array_sort(F.collect_set(F.length("anchor")))).scalar()
+    texts = rows.select(text.alias("_text")).distinct().withColumn("_lengths", lengths)
+    pieces = _pieces_of(F.col("_text"), F.col("_lengths"))
     hits = (
-        texts.select("_text", F.explode(_pieces_of(F.col("_text"))).alias("anchor"))
+        texts.select("_text", F.explode(pieces).alias("anchor"))
         .join(full, "anchor", "left_semi")
         .select("_text", F.lit(True).alias("_hit"))
         .distinct()

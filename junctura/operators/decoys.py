@@ -13,7 +13,11 @@ from junctura.session import stage
 
 
 def shuffled_decoy(text: str | Column, *key: str | Column, tries: int = DECOY_TRIES, seed: int = SEED) -> Column:
-    """The residues in another order, from the first try that differs; null if none does."""
+    """The residues in another order, from the first try that differs.
+
+    If none does, the first residue changes places with the first one that differs from it, so only
+    a text of one repeated residue (or none) has no decoy and gives null.
+    """
     original = col(text)
 
     def attempt(salt: int) -> Column:
@@ -24,7 +28,17 @@ def shuffled_decoy(text: str | Column, *key: str | Column, tries: int = DECOY_TR
         mixed = F.array_join(F.transform(F.array_sort(order), lambda s: s["aa"]), "")
         return F.when(mixed != original, mixed)
 
-    return F.coalesce(*[attempt(salt) for salt in range(tries)])
+    first = F.substring(original, 1, 1)
+    same = F.regexp_extract(original, r"^((.)\2*)", 1)
+    other = F.substring(original, F.length(same) + 1, F.lit(1))
+    swapped = F.concat(
+        other,
+        F.substring(same, F.lit(2), F.length(same)),
+        first,
+        F.substring(original, F.length(same) + 2, F.length(original)),
+    )
+    swap = F.when(F.length(same) < F.length(original), swapped)
+    return F.coalesce(*[attempt(salt) for salt in range(tries)], swap)
 
 
 def residue_weights(df: DataFrame, text: str) -> DataFrame:

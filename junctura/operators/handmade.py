@@ -22,7 +22,7 @@ def hand_parsed(records: DataFrame) -> DataFrame:
         F.col("`j.beta`").alias("j"),
     )
     for side, table in (("v", HAND_V), ("j", HAND_J)):
-        pairs = [(g, residues) for residues, genes in table.items() for g in genes]
+        pairs = list(table.items())
         # A fixed table of at most some thirty genes.
         genes = F.broadcast(
             rows.sparkSession.createDataFrame(pairs, f"_{side} string, {side}_anchor string")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from junctura.fixed import MAX_FPR
-from junctura.operators.ranking import SLICE_ROWS, running_sums
+from junctura.operators.ranking import running_sums
 
 
 def score_steps(
@@ -17,7 +17,7 @@ def score_steps(
     score: str,
     label: str,
     weight: str | None = None,
-    slice_rows: int = SLICE_ROWS,
+    slices: int | None = None,
 ) -> DataFrame:
     """One row per group and distinct score, best first, with the classes at and above it.
 
@@ -28,7 +28,7 @@ def score_steps(
         F.sum(F.when(F.col(label) == 1, unit).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(unit)).alias("neg"),
     )
-    return running_sums(steps, group, "score", ["pos", "neg"], descending=True, slice_rows=slice_rows)
+    return running_sums(steps, group, "score", ["pos", "neg"], descending=True, slices=slices)
 
 
 def auc(
@@ -37,10 +37,10 @@ def auc(
     score: str,
     label: str,
     weight: str | None = None,
-    slice_rows: int = SLICE_ROWS,
+    slices: int | None = None,
 ) -> DataFrame:
     """Probability that a positive outranks a negative, ties counting half; null for one class."""
-    steps = score_steps(df, group, score, label, weight, slice_rows)
+    steps = score_steps(df, group, score, label, weight, slices)
     lost = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2.0))
     measures = [F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), lost.alias("lost")]
     sums = steps.groupBy(*group).agg(*measures) if group else steps.agg(*measures)
@@ -56,13 +56,13 @@ def partial_auc(
     score: str,
     label: str,
     max_fpr: float = MAX_FPR,
-    slice_rows: int = SLICE_ROWS,
+    slices: int | None = None,
 ) -> DataFrame:
     """Standardised area up to ``max_fpr`` for every group with both classes.
 
     The step crossing the limit is cut by linear interpolation; a constant score gives 0.5.
     """
-    steps = score_steps(df, group, score, label, None, slice_rows)
+    steps = score_steps(df, group, score, label, None, slices)
     totals = steps.groupBy(*group).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     limit = F.lit(max_fpr) * F.col("n_neg")
     width = F.least(F.col("neg").cast("double"), limit - F.col("before_neg"))
@@ -103,3 +103,13 @@ def flag_seen(df: DataFrame, training: DataFrame, key: str) -> DataFrame:
 def over_seeds(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Mean and population deviation over repeated runs."""
     return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
+
+
+def best_first(df: DataFrame, value: str, key: Sequence[str]) -> DataFrame:
+    """Add ``place``, from 1, by descending value (to nine digits) and then by key.
+
+    The rows are one per group, and ranked range by range.
+    """
+    rows = df.withColumn("_order", F.struct(-F.round(value, 9), *key)).withColumn("_one", F.lit(1))
+    placed = running_sums(rows, [], "_order", ["_one"])
+    return placed.withColumn("place", F.col("before__one") + 1).drop("_order", "_one", "before__one")

@@ -15,7 +15,7 @@ from junctura.fixed import EPITOPE_CAP, EPITOPES, EPOCHS, HASH_BITS, L2, LEARNIN
 from junctura.functions.features import buckets
 from junctura.session import stage
 
-# Most examples one sequential fit may hold: every capped group, with one negative per positive.
+# Most training examples one sequential fit may hold: every capped group, with one negative per positive.
 FIT_ROWS = EPITOPE_CAP * EPITOPES * 2
 
 
@@ -41,9 +41,9 @@ def sequential_fits(
     """
     by = list(by)
     rows = stage(examples.select(*by, key, tokens, label, train))
-    largest = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    largest = rows.filter(train).groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     if largest > max_rows:
-        raise ValueError(f"{largest} examples in one experiment; cap the groups or use fit_logistic")
+        raise ValueError(f"{largest} training examples in one experiment; cap the groups or use fit_logistic")
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         import numpy as np

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from junctura.fixed import FDR, FOCUS, GRAM_FLOOR, STUDY_FLOOR
 from junctura.functions.sequence import kmers
@@ -209,6 +210,12 @@ def enrichment(
     )
 
 
+def top_by_ratio(table: DataFrame, limit: int = 8) -> DataFrame:
+    """The ``limit`` grams of each comparison with the largest ratio (to nine digits), then by gram."""
+    order = W.partitionBy("group_a", "group_b").orderBy(F.round("ratio", 9).desc(), "gram")
+    return table.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+
+
 def enrichment_report(enriched: DataFrame) -> DataFrame:
     """The enrichment rows as written out: rounded text and replication as a fraction."""
     names = F.create_map(*[F.lit(x) for pair in FOCUS for x in pair])

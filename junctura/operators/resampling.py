@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from junctura.fixed import GAP_RESAMPLES, PEPTIDE_RESAMPLES, SEED
+from junctura.fixed import GAP_PLACES, GAP_RESAMPLES, PEPTIDE_RESAMPLES, SEED
 from junctura.functions.sequence import pick
 from junctura.operators.metrics import auc
 from junctura.operators.ranking import hash_rank
@@ -30,13 +30,15 @@ def resample_counts(items: DataFrame, by: Sequence[str], key: Sequence[str], res
     return draws.join(numbered.drop("size"), [*by, "item"]).drop("item")
 
 
-def interval(samples: DataFrame, value: str, by: Sequence[str] = (), interpolate: bool = True, resamples: int = 0) -> DataFrame:
-    """The central 95 % of the resampled values: interpolated, or by position in sorted order."""
-    if interpolate:
+def interval(
+    samples: DataFrame, value: str, by: Sequence[str] = (), places: tuple[int, int] | None = None
+) -> DataFrame:
+    """The central 95 % of the resampled values: interpolated, or at ``places`` (from 0) in sorted order."""
+    if places is None:
         ends = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
         packed = samples.groupBy(*by).agg(ends.alias("e"))
         return packed.select(*by, F.get("e", F.lit(0)).alias("lo"), F.get("e", F.lit(1)).alias("hi"))
-    low, high = int(0.025 * resamples), min(resamples - 1, int(0.975 * resamples))
+    low, high = places
     order = F.array_sort(F.collect_list(value))
     packed = samples.groupBy(*by).agg(order.alias("e"))
     return packed.select(*by, F.get("e", F.lit(low)).alias("lo"), F.get("e", F.lit(high)).alias("hi"))
@@ -50,7 +52,7 @@ def bootstrap_mean(
     resamples: int = PEPTIDE_RESAMPLES,
     seed: int = SEED,
     minimum: int = 3,
-    interpolate: bool = True,
+    places: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Mean difference per group with its interval, wins, and the verdict that follows."""
     by = list(by)
@@ -58,7 +60,7 @@ def bootstrap_mean(
     means = counts.groupBy(*by, "resample").agg(
         (F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("m")
     )
-    ends = interval(means, "m", by, interpolate, resamples)
+    ends = interval(means, "m", by, places)
     stats = (
         deltas.groupBy(*by)
         .agg(
@@ -96,6 +98,7 @@ def auc_gap_interval(
     by: Sequence[str] = (),
     resamples: int = GAP_RESAMPLES,
     seed: int = SEED,
+    places: tuple[int, int] = GAP_PLACES,
 ) -> DataFrame:
     """Interval of AUC(first model) - AUC(second model) over paired resamples of the items.
 
@@ -124,7 +127,7 @@ def auc_gap_interval(
             - F.max(F.when(F.col("model") == second, F.col("auc")))
         ).alias("gap")
     )
-    return interval(gaps, "gap", by, interpolate=False, resamples=resamples)
+    return interval(gaps, "gap", by, places)
 
 
 def fit_curve(curve: DataFrame, size: str, value: str, by: Sequence[str] = ()) -> DataFrame:

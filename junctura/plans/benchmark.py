@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from junctura.fixed import (
-    BENCHMARK_CROSS_CAP,
     BENCHMARK_SUPPORT,
     CURVE_GROUP_FLOOR,
     CURVE_SEEDS,
@@ -69,7 +68,7 @@ def arm_tokens(arm: str) -> Column:
     }[arm]()
 
 
-def with_cross(rows: DataFrame, anchors: DataFrame, arm: str, cap: int = BENCHMARK_CROSS_CAP) -> DataFrame:
+def with_cross(rows: DataFrame, anchors: DataFrame, arm: str, cap: int | None = None) -> DataFrame:
     prepared = with_parts(rows, anchors)
     return prepared.select(
         *rows.columns, cross_tokens(arm_tokens(arm), peptide_tokens("Peptide", "HLA"), cap).alias("tokens")

@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from junctura.fixed import CURVE_GROUP_FLOOR, FOCUS, FRACTIONS, MIN_REGION, SEED
+from junctura.fixed import (
+    CURVE_GROUP_FLOOR,
+    FOCUS,
+    FRACTIONS,
+    MEAN_PLACES,
+    MEAN_RESAMPLES,
+    MIN_REGION,
+    SEED,
+)
 from junctura.functions.features import buckets, cross_tokens, loop_tokens, peptide_tokens
 from junctura.functions.sequence import base_gene
 from junctura.operators import anchors as anchoring
@@ -181,6 +189,13 @@ def bigram_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(ngrams.enrichment(stage(_annotated(spark, sf))), "ratio", "p", "q")
 
 
+@query
+def top_enriched(spark: SparkSession, sf: str) -> DataFrame:
+    """The first eight significant bigrams of each comparison by ratio."""
+    found = ngrams.top_by_ratio(ngrams.enrichment(stage(_annotated(spark, sf))))
+    return found.select("group_a", "group_b", "gram", "place", _r("ratio", "ratio"))
+
+
 @query
 def enrichment_report(spark: SparkSession, sf: str) -> DataFrame:
     return ngrams.enrichment_report(ngrams.enrichment(stage(_annotated(spark, sf))))
@@ -359,6 +374,30 @@ def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(resampling.bootstrap_mean(deltas, "delta", ["source"]), "delta", "lo", "hi")
 
 
+@query
+def pooled_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the interval read at fixed places of the sorted resamples."""
+    deltas = stage(resampling.paired_deltas(_length_arms(spark, sf), "arm", ["source"], "auc01", "long", "short"))
+    pooled = resampling.bootstrap_mean(
+        deltas, "delta", ["source"], resamples=MEAN_RESAMPLES, minimum=1, places=MEAN_PLACES
+    )
+    return _rounded(pooled, "delta", "lo", "hi")
+
+
+@query
+def ranked_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources by area, best first."""
+    areas = metrics.auc(_labelled(spark, sf), ["source"], "n_chars", "quality").filter("auc IS NOT NULL")
+    return metrics.best_first(areas, "auc", ["source"]).select("source", "place", _r("auc", "auc"))
+
+
+@query
+def auc_spread(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean and deviation of the sources' areas, by language."""
+    areas = metrics.auc(_labelled(spark, sf), ["source", "lang"], "n_chars", "quality")
+    return _rounded(metrics.over_seeds(areas, ["lang"], "auc"), "mean", "sd")
+
+
 def _size_curve(spark: SparkSession, sf: str) -> DataFrame:
     rows = stage(_labelled(spark, sf))
     parts = [
@@ -388,6 +427,17 @@ def curve_fit(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(shaped, *values)
 
 
+@query
+def size_to_reach(spark: SparkSession, sf: str) -> DataFrame:
+    """Logarithm of the size at which the fitted line meets two targets."""
+    fitted = resampling.fit_curve(stage(_size_curve(spark, sf)), "pairs", "value")
+    rows = [
+        F.struct(F.lit(t).alias("target"), F.log(resampling.size_to_reach(t)).alias("log_size"))
+        for t in (0.45, 0.55)
+    ]
+    return _rounded(fitted.select(F.explode(F.array(*rows)).alias("r")).select("r.*"), "log_size")
+
+
 # Distances
 
 
@@ -478,6 +528,12 @@ def epitope_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return negatives.epitope_negatives(rows, rows.select("epitope"))
 
 
+@query
+def pair_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, distinct peptides and positive rate of the training and the test pairs."""
+    return _rounded(reports.pair_summary(tables.paired_records(spark, sf), "Label", ["part"]), "positive_rate")
+
+
 def _swapped(spark: SparkSession, sf: str, scheme: str, exclude: bool) -> DataFrame:
     train = stage(tables.binders(spark, sf))
     pairs = negatives.swap_negatives(train, scheme, exclude_binders=exclude)

@@ -191,6 +191,13 @@ add(
       round(ratio, 6) ratio, round(p, 6) p, round(q, 6) q FROM replicated""",
     GRAMS,
 )
+add(
+    "top_enriched",
+    """SELECT group_a, group_b, gram, place, round(ratio, 6) ratio FROM (
+      SELECT *, row_number() OVER (PARTITION BY group_a, group_b ORDER BY round(ratio, 9) DESC, gram) place FROM replicated)
+    WHERE place <= 8""",
+    GRAMS,
+)
 add(
     "enrichment_report",
     f"""SELECT {NAME.format('group_a')} group_a, {NAME.format('group_b')} group_b, gram bigram, count_a, count_b,
@@ -206,7 +213,7 @@ add(
 
 # First analysis
 _hand = {
-    side: ", ".join(f"('{g}', '{residues}')" for residues, genes in table.items() for g in genes)
+    side: ", ".join(f"('{gene}', '{residues}')" for gene, residues in table.items())
     for side, table in (("v", HAND_V), ("j", HAND_J))
 }
 HAND = f"""{COMPLETE}, hv(g, va) AS (VALUES {_hand['v']}), hj(g, ja) AS (VALUES {_hand['j']}),
@@ -539,6 +546,37 @@ add(
     WHERE (SELECT count(*) FROM d) >= 3""",
     LABELLED,
 )
+add(
+    "pooled_bootstrap",
+    f""", d AS (
+      SELECT source, a.auc01 - b.auc01 delta FROM {_by_source} a
+      JOIN {partial('labelled', 'source', '-n_chars', 'quality')} b USING (source)
+    ), items AS (
+      SELECT delta, row_number() OVER (ORDER BY {order('item', 'source')}) item, count(*) OVER () size FROM d
+    ), m AS (
+      SELECT resample, avg(i.delta) m FROM (
+        SELECT resample, {pick('size', SEED, "'draw'", 'resample', 'item')} + 1 item FROM items, range(2000) b(resample)
+      ) JOIN items i USING (item) GROUP BY resample
+    )
+    SELECT (SELECT count(*) FROM d) n, (SELECT count(*) FROM d WHERE delta > 0) wins,
+      (SELECT round(avg(delta), 6) FROM d) delta, round(lo, 6) lo, round(hi, 6) hi,
+      CASE WHEN lo > 0 THEN 'better' WHEN hi > 0 THEN 'no sig. difference' ELSE 'worse' END verdict
+    FROM (SELECT list_sort(list(m))[51] lo, list_sort(list(m))[1950] hi FROM m)
+    WHERE (SELECT count(*) FROM d) >= 1""",
+    LABELLED,
+)
+add(
+    "ranked_sources",
+    f"""SELECT source, row_number() OVER (ORDER BY round(auc, 9) DESC, source) place, round(auc, 6) auc
+    FROM {area('labelled', 'source', 'n_chars', 'quality')} WHERE auc IS NOT NULL""",
+    LABELLED,
+)
+add(
+    "auc_spread",
+    f"""SELECT lang, round(avg(auc), 6) mean, round(stddev_pop(auc), 6) sd
+    FROM {area('labelled', 'source, lang', 'n_chars', 'quality')} GROUP BY lang""",
+    LABELLED,
+)
 _fractions = ", ".join(f"({f}::DOUBLE)" for f in FRACTIONS)
 CURVE = f"""{LABELLED}, ranked AS (
   SELECT *, row_number() OVER (ORDER BY {order('curve', 'doc_id')}) rk, count(*) OVER () n FROM labelled
@@ -566,6 +604,14 @@ add(
     CURVE,
 )
 
+add(
+    "size_to_reach",
+    """, f AS (SELECT regr_slope("value", ln(pairs)) slope, regr_intercept("value", ln(pairs)) intercept FROM curve)
+    SELECT target, round(ln(exp((target - intercept) / slope)), 6) log_size
+    FROM f, (VALUES (0.45::DOUBLE), (0.55::DOUBLE)) t(target)""",
+    CURVE,
+)
+
 # Distances
 NEAR = f"""{PAIRED}, peps AS (SELECT DISTINCT "Peptide" s FROM train), near AS (
   SELECT a.s a, b.s b, levenshtein(a.s, b.s) distance FROM peps a JOIN peps b ON a.s <> b.s
@@ -677,7 +723,8 @@ add(
 )
 _donor = ["Va", "Ja", "CDR1a", "CDR2a", "CDR3a", "Vb", "Jb", "CDR1b", "CDR2b", "CDR3b"]
 _train_columns = ["Peptide", "HLA", *_donor]
-_grp = digest(*[f"coalesce(\"{c}\", '')" for c in _train_columns])
+_copy = "row_number() OVER (PARTITION BY {0})".format(", ".join(f'"{c}"' for c in _train_columns))
+_grp = digest(*[f"coalesce(\"{c}\", '')" for c in _train_columns], _copy)
 
 
 def swaps(scheme: str, exclude: bool, source: str = "train") -> str:
@@ -726,6 +773,12 @@ slots AS (
 )"""
 
 
+add(
+    "pair_summary",
+    """SELECT part, count(*) n_rows, count(DISTINCT "Peptide") peptides, round(avg("Label"), 6) positive_rate
+    FROM paired GROUP BY part""",
+    PAIRED,
+)
 _pair_columns = 'SELECT grp, draw, label, "Peptide", "HLA", "Vb", "Jb", "CDR3a", "CDR3b" FROM pairs'
 for _name, _scheme, _exclude in (
     ("challenge_negatives", "challenge", False),
@@ -805,7 +858,34 @@ add(
     f"""SELECT {KEYS}, len(toks) n, md5(array_to_string(toks, ' ')) digest FROM (
       SELECT {KEYS}, flatten(list_transform(t, lambda a: list_transform(e, lambda b: a || '|' || b)))
         || list_transform(t, lambda a: 'T!' || a) || list_transform(e, lambda b: 'E!' || b) toks
-      FROM (SELECT {KEYS}, ({_parsed})[1:14] t, ({epitope_list('epitope')})[1:14] e FROM parsed))""",
+      FROM (SELECT {KEYS}, ({_parsed}) t, ({epitope_list('epitope')}) e FROM parsed))""",
+    PARSED,
+)
+
+def _crc_table() -> list[int]:
+    table = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        table.append(byte)
+    return table
+
+
+# CRC-32 of each distinct token, byte by byte.
+add(
+    "bucket_counts",
+    f""", tokens AS (
+      SELECT tok, count(*) n FROM (
+        SELECT unnest(flatten(list_transform(t, lambda a: list_transform(e, lambda b: a || '|' || b)))
+          || list_transform(t, lambda a: 'T!' || a) || list_transform(e, lambda b: 'E!' || b)) tok
+        FROM (SELECT ({_parsed}) t, ({epitope_list('epitope')}) e FROM parsed)) GROUP BY tok
+    ), hashed AS (
+      SELECT n, list_reduce(
+        list_transform(range(1, length(tok) + 1), lambda i: ascii(substr(tok, i::INT, 1))::BIGINT),
+        lambda c, b: xor(c >> 8, {_crc_table()}[(xor(c, b) & 255) + 1]), 4294967295::BIGINT) crc
+      FROM tokens
+    )
+    SELECT (xor(crc, 4294967295) & 262143)::INT bucket, sum(n)::BIGINT n FROM hashed GROUP BY ALL""",
     PARSED,
 )
 
@@ -819,6 +899,7 @@ add(
 add(
     "document_words",
     r"""SELECT doc_id, len(list_filter(regexp_split_to_array(
-      regexp_replace(regexp_replace(regexp_replace(text, '\nKeywords:.*', '', 'gs'), '\*\*(.+?)\*\*', '\1', 'g'),
-        '\[[\d,–— -]+\]', '', 'g'), '\s+'), lambda w: w <> '')) words FROM documents""",
+      regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\*\*(.+?)\*\*', '\1', 'g'),
+        '\[[\d,–— -]+\]', '', 'g'), ' +([.,;])', '\1', 'g'), '\nKeywords:.*', '', 'gs'), '\s+'),
+      lambda w: w <> '')) words FROM documents""",
 )

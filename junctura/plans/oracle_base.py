@@ -153,12 +153,13 @@ PARSED = f"""{ANCHORS}, {parse_from('clones')}, parsed AS (
 _test = "ok % 5 = 0"
 _label = f"CASE WHEN NOT ({_test}) OR rid % 6 = 0 THEN 1 ELSE 0 END"
 PAIRED = f"""{BASE}, fam AS (
-  SELECT *, {_label} lab, CASE WHEN ({_label}) = 1 THEN ei ELSE (ei + 1 + rid % 4) % 5 END fm
-  FROM base WHERE {_test} OR ok % 4 <> 0 OR ei <> 4
+  SELECT *, {_label} lab, CASE WHEN NOT ({_test}) AND ok % 4 = 0 AND ei = 4 THEN 3
+       WHEN ({_label}) = 1 THEN ei ELSE (ei + 1 + rid % 4) % 5 END fm
+  FROM base
 ), pep AS (
   SELECT *, {PEPTIDE.format('fm')} pep0 FROM fam
 ), paired AS (
-  SELECT DISTINCT CASE WHEN {_test} THEN 'test' ELSE 'train' END part,
+  SELECT CASE WHEN {_test} THEN 'test' ELSE 'train' END part,
     CASE WHEN ok % 4 = 0 THEN left(pep0, 4) || {_res('pk * 7 + sk')} || substr(pep0, 6, 10)
          ELSE pep0 END "Peptide",
     'HLA-A*0' || (fm % 3 + 1) "HLA",

@@ -12,6 +12,7 @@ from junctura.fixed import (
     CONTROL_SEEDS,
     EPITOPE_CLASS_FLOOR,
     FOLDS,
+    MEAN_PLACES,
     MEAN_RESAMPLES,
     SEED,
     SEEDS,
@@ -143,7 +144,7 @@ def epitope_deltas(scored: DataFrame, a: str = "morpheme", b: str = "kmer3",
 def unseen_verdict(deltas: DataFrame, control_ok: bool, resamples: int = MEAN_RESAMPLES) -> DataFrame:
     """Pooled interval of the differences, seeds in favour, and the resulting statement."""
     deltas = stage(deltas)
-    pooled = bootstrap_mean(deltas, "delta", ["seed", "epitope"], (), resamples, minimum=1, interpolate=False)
+    pooled = bootstrap_mean(deltas, "delta", ["seed", "epitope"], (), resamples, minimum=1, places=MEAN_PLACES)
     seeds = (
         deltas.groupBy("seed")
         .agg(F.avg("delta").alias("d"))

@@ -16,6 +16,8 @@ def build_session(app_name: str = "junctura", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Keeps small tables in as many files as there are cores; larger ones are not concerned.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32KB",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
@@ -49,16 +51,5 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    # Keep as many files as there are cores even for a small table, so that the work that follows
-    # runs in parallel; this changes nothing for a table larger than a few megabytes.
-    least = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
-    kept = spark.conf.get(least, None)
-    spark.conf.set(least, "32KB")
-    try:
-        df.write.parquet(path)
-    finally:
-        if kept is None:
-            spark.conf.unset(least)
-        else:
-            spark.conf.set(least, kept)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

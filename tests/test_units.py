@@ -136,13 +136,13 @@ def test_malformed_sequence_is_set_apart(spark):
         ("CSVNEQFFGG", "parsed"), ("CSVPPGTDYNEQFF", "parsed"),
         ("CSVPPGTDYNEQFFGPGTDYNEQFF", "malformed"), ("CSVPPYF", "unparsed"),
     ]
-    found = annotate.contains_full_j(df, anchors, F.col("cdr3"), "hit")
-    limit, annotate.PATTERN_ANCHORS = annotate.PATTERN_ANCHORS, 0
-    try:
-        joined = annotate.contains_full_j(df, anchors, F.col("cdr3"), "hit")
-        assert values(joined, "cdr3", "hit") == values(found, "cdr3", "hit")
-    finally:
-        annotate.PATTERN_ANCHORS = limit
+    longer = anchors.unionByName(
+        spark.createDataFrame([("J", "J3", "PPGTDYNEQFF")], anchors.schema)
+    )
+    found = annotate.contains_full_j(df, longer.filter("gene <> 'J1'"), F.col("cdr3"), "hit")
+    assert [h for _, h in values(found, "cdr3", "hit")] == [False, True, True, False]
+    none = annotate.contains_full_j(df, anchors.filter("side = 'V'"), F.col("cdr3"), "hit")
+    assert not any(h for _, h in values(none, "cdr3", "hit"))
 
 
 def test_hand_parse_examples(spark):
@@ -180,12 +180,12 @@ def test_fisher_matches_exact_counts(spark):
     assert big.select(ngrams.fisher_greater(*[F.col(x) for x in "abcd"])).first()[0] == pytest.approx(0.5, abs=1e-3)
 
 
-@pytest.mark.parametrize("slice_rows", [1_000_000, 7])
-def test_fdr_by_hand_and_in_slices(spark, slice_rows):
+@pytest.mark.parametrize("slices", [None, 1, 7])
+def test_fdr_by_hand_and_in_slices(spark, slices):
     rng = random.Random(3)
     ps = {g: [round(rng.random(), 2) for _ in range(n)] for g, n in (("a", 40), ("b", 1), ("c", 9))}
     df = spark.createDataFrame([(g, i, p) for g, xs in ps.items() for i, p in enumerate(xs)], "g string, i int, p double")
-    got = {(r["g"], r["i"]): r["q"] for r in ranking.adjust_fdr(df, ["g"], "p", slice_rows=slice_rows).collect()}
+    got = {(r["g"], r["i"]): r["q"] for r in ranking.adjust_fdr(df, ["g"], "p", slices=slices).collect()}
     for g, xs in ps.items():
         order = sorted(range(len(xs)), key=lambda i: xs[i], reverse=True)
         low = 1.0
@@ -194,14 +194,14 @@ def test_fdr_by_hand_and_in_slices(spark, slice_rows):
             assert got[g, i] == pytest.approx(low)
 
 
-@pytest.mark.parametrize("slice_rows", [1_000_000, 5])
-def test_auc_with_ties_and_hot_group(spark, slice_rows):
+@pytest.mark.parametrize("slices", [None, 1, 9])
+def test_auc_with_ties_and_hot_group(spark, slices):
     rng = random.Random(4)
     rows = [("hot", rng.randint(0, 30) / 3.0, rng.randint(0, 1)) for _ in range(300)]
     rows += [("tied", 1.0, i % 2) for i in range(6)] + [("one", float(i), 1) for i in range(4)]
     rows += [("perfect", float(i), int(i > 2)) for i in range(6)]
     df = spark.createDataFrame(rows, "g string, s double, y int")
-    got = {r["g"]: r["auc"] for r in metrics.auc(df, ["g"], "s", "y", slice_rows=slice_rows).collect()}
+    got = {r["g"]: r["auc"] for r in metrics.auc(df, ["g"], "s", "y", slices=slices).collect()}
     hot = [(s, y) for g, s, y in rows if g == "hot"]
     assert got["hot"] == pytest.approx(mann_whitney([s for s, y in hot if y], [s for s, y in hot if not y]))
     assert got["tied"] == 0.5 and got["perfect"] == 1.0 and got["one"] is None
@@ -225,14 +225,14 @@ def brute_partial(rows, limit=0.1):
     return 0.5 * (1 + (area - low) / (limit - low))
 
 
-@pytest.mark.parametrize("slice_rows", [1_000_000, 4])
-def test_partial_auc(spark, slice_rows):
+@pytest.mark.parametrize("slices", [None, 1, 11])
+def test_partial_auc(spark, slices):
     rng = random.Random(5)
     groups = {f"g{k}": [(rng.randint(0, 12), rng.randint(0, 1)) for _ in range(60)] for k in range(6)}
     groups["flat"] = [(0, i % 3 == 0) for i in range(30)]
     groups["one"] = [(i, 1) for i in range(5)]
     df = spark.createDataFrame([(g, float(s), int(y)) for g, xs in groups.items() for s, y in xs], "g string, s double, y int")
-    got = {r["g"]: r["auc01"] for r in metrics.partial_auc(df, ["g"], "s", "y", slice_rows=slice_rows).collect()}
+    got = {r["g"]: r["auc01"] for r in metrics.partial_auc(df, ["g"], "s", "y", slices=slices).collect()}
     assert "one" not in got and got["flat"] == pytest.approx(0.5)
     for g in groups:
         if g.startswith("g"):
@@ -288,9 +288,14 @@ def test_nearest_binder_and_loops_match_brute_force(spark, monkeypatch):
 
 
 def test_decoys(spark):
-    df = spark.createDataFrame([("ABCDE",), ("AAAA",), ("AB",)], "s string")
+    df = spark.createDataFrame([("ABCDE",), ("AAAA",), ("AB",), ("",)], "s string")
     got = dict(df.select("s", shuffled_decoy("s", "s")).collect())
-    assert got["AAAA"] is None and got["AB"] == "BA"
+    assert got["AAAA"] is None and got["AB"] == "BA" and got[""] is None
+    swapped = dict(df.select("s", shuffled_decoy("s", "s", tries=1)).collect())
+    assert swapped["AB"] == "BA"
+    words = spark.createDataFrame([("AABCA",), ("AAAB",), ("ABA",)], "s string")
+    first = dict(words.select("s", shuffled_decoy("s", "s", tries=0)).collect())
+    assert first == {"AABCA": "BAACA", "AAAB": "BAAA", "ABA": "BAA"}
     assert sorted(got["ABCDE"]) == sorted("ABCDE") and got["ABCDE"] != "ABCDE"
 
 
@@ -347,6 +352,22 @@ def test_swap_negatives_keep_their_rules(spark):
             assert made == first
 
 
+def test_equal_positives_each_get_negatives(spark):
+    columns = ["Peptide", "HLA", "Va", "Ja", "CDR1a", "CDR2a", "CDR3a", "Vb", "Jb", "CDR1b", "CDR2b", "CDR3b"]
+    rows = [("AAAAAAAA", "H", "v", "j", None, "b", "c", "v", "j", "a", "b", "AA1")] * 4
+    rows += [("DDDDDDDD", "H", "v", "j", "a", "b", "c", "v", "j", "a", "b", f"DD{i}") for i in range(30)]
+    train = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
+    for exclude in (False, True):
+        made = negatives.swap_negatives(train, "challenge", exclude_binders=exclude).collect()
+        drawn = {}
+        for r in made:
+            if r["label"] == 0 and r["Peptide"] == "AAAAAAAA":
+                drawn.setdefault(r["grp"], []).append(r["CDR3b"])
+        assert len(drawn) == 4 and all(len(d) == 5 for d in drawn.values())
+        assert len({tuple(sorted(d)) for d in drawn.values()}) > 1
+        assert sum(r["label"] for r in made) == 34
+
+
 def test_splits(spark):
     rows = [(f"C{i}", "V", "J", "big" if i < 90 else "small", [f"s{i % 10}"]) for i in range(100)]
     df = spark.createDataFrame(rows, "cdr3 string, v string, j string, epitope string, studies array<string>")
