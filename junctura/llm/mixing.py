@@ -16,7 +16,7 @@ SEED = 20250101
 # What is left for the knapsack when lengths have been taken in proportion.
 KNAPSACK = 1 << 15
 # Rows that one task ranks when documents of one source and length are chosen from.
-SLICE = 20_000
+SLICE = 1_000
 
 
 def word_count(text: str = "text") -> Column:
