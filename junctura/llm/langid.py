@@ -19,7 +19,7 @@ UNKNOWN = "und"
 # Buckets of hashed n-grams, centroids per language, and labelled texts fitted per language.
 BUCKETS = 1 << 14
 CENTROIDS = 3
-SAMPLE = 400
+SAMPLE = 1_000
 ROUNDS = 12
 SEED = 17
 # A text is rejected below this share of the least cosine that a centroid's own texts have.
@@ -137,8 +137,9 @@ def fit(
 ) -> Model:
     """Fit on at most ``sample`` labelled texts per language, those with the smallest seeded digest.
 
-    The texts are chosen by key, language and digest alone, each task sending at most ``sample`` rows
-    of a language; then whole texts are read for the chosen keys. Document frequencies are counted by
+    The texts are chosen by key, language and digest alone: a digest threshold from the language's
+    count lets about twice ``sample`` rows through, whatever its size, and those are ranked. Then
+    whole texts are read for the chosen keys. Document frequencies are counted by
     Spark, and each language is clustered in a task of its own over its bounded sample. The model is
     ``centroids`` x ``BUCKETS`` numbers per language. Rows without language are left out, and so are
     texts without a letter; without rows the model is empty and predicts ``und``.
@@ -146,9 +147,17 @@ def fit(
     rows = labelled.filter(F.col(f"`{lang}`").isNotNull()).select(
         F.col(f"`{key}`").alias("key"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("body")
     )
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64(F.lit(SEED), "key"), "key"))
+    counts = stage(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
+    digest = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "key"), 11)
+    place = F.row_number().over(W.partitionBy("lang").orderBy("digest", "key"))
     chosen = stage(
-        rows.select("key", "lang").withColumn("place", place).filter(F.col("place") <= sample).drop("place"),
+        rows.select("key", "lang")
+        .withColumn("digest", digest)
+        .join(counts, "lang")
+        .filter(F.col("digest") / float(1 << 53) <= 2.0 * sample / F.col("rows"))
+        .withColumn("place", place)
+        .filter(F.col("place") <= sample)
+        .select("key", "lang"),
         "chosen",
     )
     names = chosen.select(F.col("key").alias("k"), F.col("lang").alias("l")).distinct()
