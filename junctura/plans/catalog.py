@@ -29,11 +29,12 @@ from junctura.plans import benchmark as paired
 from junctura.plans import grammaticality as grammar
 from junctura.plans import unseen
 from junctura.plans.dataset import Dataset, build_dataset, largest_epitopes
+from junctura.plans.evaluations import QUERIES as EVALUATIONS
 from junctura.session import stage
 from junctura.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = dict(EVALUATIONS)
 
 
 def query(function: Query) -> Query:
