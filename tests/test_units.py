@@ -264,6 +264,43 @@ def test_near_pairs_are_complete(spark):
     assert far == {w: sum(edit_distance(w, x) > 3 for x in words) for w in words}
 
 
+def test_near_pairs_of_long_variants(spark):
+    rng = random.Random(16)
+    words = set()
+    for size in (12, 25, 60):
+        base = [rng.choice("ACDE") for _ in range(size)]
+        for _ in range(60):
+            word = list(base)
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(word))
+                word[at : at + rng.randint(0, 1)] = rng.choice(["", "A", "C", "G"])
+            words.add("".join(word))
+    words = sorted(words)
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for edits in (1, 2, 3):
+        got = {(r["a"], r["b"]): r["distance"] for r in neighbours.near_pairs(df, "w", edits).collect()}
+        every = {(a, b): edit_distance(a, b) for a, b in itertools.combinations(words, 2) if abs(len(a) - len(b)) <= 3}
+        assert got == {pair: d for pair, d in every.items() if d <= edits}
+
+
+def test_keys_of_a_value_do_not_grow_with_its_length(spark):
+    df = spark.range(8, 200, 16).select(F.repeat(F.lit("ACDEF"), F.col("id").cast("int")).alias("w"))
+    for keys, most in ((neighbours.own_segments, 4), (neighbours.sought_segments, 64)):
+        sizes = keys(df, "w", 3).groupBy("w").count().collect()
+        assert len(sizes) == 12 and all(r["count"] <= most for r in sizes)
+
+
+def test_a_hot_family_of_variants(spark):
+    """All share most segments, but only neighbours in the list are within three edits."""
+    rng = random.Random(17)
+    base = "".join(rng.choice("ACDEFGHIKL") for _ in range(40))
+    words = [base[:20] + "".join("ACDEFGHIKL"[int(c)] for c in f"{i:04d}" for _ in (0, 1)) + base[20:] for i in range(600)]
+    got = neighbours.near_pairs(spark.createDataFrame([(w,) for w in words], "w string"), "w").count()
+    wanted = sum(edit_distance(a, b) <= 3 for a, b in itertools.combinations(words[:60], 2))
+    part = neighbours.near_pairs(spark.createDataFrame([(w,) for w in words[:60]], "w string"), "w").count()
+    assert part == wanted and got > part
+
+
 def test_nearest_binder_and_loops_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 16)
     rng = random.Random(7)
