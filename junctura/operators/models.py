@@ -19,12 +19,11 @@ from junctura.session import stage
 FIT_ROWS = EPITOPE_CAP * EPITOPES * 2
 
 
-def sequential_fits(
+def sequential_weights(
     examples: DataFrame,
     by: Sequence[str],
     tokens: str = "idx",
     label: str = "label",
-    train: str = "in_train",
     key: str = "example",
     epochs: int = EPOCHS,
     rate: float = LEARNING_RATE,
@@ -33,28 +32,27 @@ def sequential_fits(
     seed: int = SEED,
     max_rows: int = FIT_ROWS,
 ) -> DataFrame:
-    """Score the test examples of every experiment with weights learned one example at a time.
+    """(by.., bucket, weight) learned one example at a time; bucket -1 is the bias.
 
     Stochastic descent is sequential within an experiment, so each runs in one task and the
-    experiments run side by side. The caps of the design bound an experiment's rows; a larger
-    one is refused, and :func:`fit_logistic` is the distributed model for it.
+    experiments run side by side. The caps of the design bound an experiment's training rows; a
+    larger one is refused, and :func:`fit_logistic` is the distributed model for it.
     """
     by = list(by)
-    rows = stage(examples.select(*by, key, tokens, label, train))
-    largest = rows.filter(train).groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    rows = stage(examples.select(*by, key, tokens, label))
+    largest = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     if largest > max_rows:
         raise ValueError(f"{largest} training examples in one experiment; cap the groups or use fit_logistic")
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        group = group.sort_values(key, kind="stable")
-        fit, held = group[group[train]], group[~group[train]]
+        fit = group.sort_values(key, kind="stable")
         weights, bias, decay = np.zeros(1 << bits), 0.0, 1.0 - l2
         rng = np.random.default_rng(seed)
         # A token visited m times is decayed and moved m times in turn; this is its closed form.
         visits = [np.unique(x, return_counts=True) for x in fit[tokens]]
-        repeats = max((int(m.max()) for _, m in visits), default=1)
+        repeats = max((int(m.max()) for _, m in visits if len(m)), default=1)
         powers = decay ** np.arange(repeats + 1)
         moves = (1.0 - powers) / l2 if l2 else np.arange(repeats + 1.0)
         wanted = fit[label].to_numpy()
@@ -67,15 +65,49 @@ def sequential_fits(
                 step = (p - wanted[at]) * rate
                 bias -= step
                 weights[slots] = current * powers[times] - step * moves[times]
-        scored = held[[*by, key, label]].copy()
-        scored["score"] = [bias + float(weights[np.asarray(x)].sum()) for x in held[tokens]]
-        return scored
+        touched = np.flatnonzero(weights)
+        learned = pd.DataFrame({"bucket": [-1, *touched], "weight": [bias, *weights[touched]]})
+        for name in by:
+            learned[name] = group[name].iloc[0]
+        return learned[[*by, "bucket", "weight"]]
 
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join([f"`{c}` {fields[c]}" for c in [*by, key, label]] + ["score double"])
+    schema = ", ".join([f"`{c}` {fields[c]}" for c in by] + ["bucket int", "weight double"])
     return rows.groupBy(*by).applyInPandas(learn, schema)
 
 
+def linear_scores(
+    examples: DataFrame, weights: DataFrame, by: Sequence[str], tokens: str = "idx"
+) -> DataFrame:
+    """``examples`` without their tokens but with ``score``: the bias of the experiment and the weights
+    of the example's buckets, each as often as it occurs.
+
+    Examples meet the weights on (experiment, bucket), so any number of them is scored.
+    """
+    by = list(by)
+    others = [c for c in examples.columns if c != tokens]
+    rows = stage(examples.withColumn("_row", F.monotonically_increasing_id()))
+    buckets = F.concat(F.array(F.lit(-1)), F.coalesce(tokens, F.array().cast("array<int>")))
+    hits = rows.select("_row", *by, F.explode(buckets).alias("bucket")).join(weights, [*by, "bucket"], "left")
+    sums = hits.groupBy("_row").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("score"))
+    return rows.join(sums, "_row").select(*others, "score")
+
+
+def sequential_fits(
+    examples: DataFrame,
+    by: Sequence[str],
+    tokens: str = "idx",
+    label: str = "label",
+    train: str = "in_train",
+    key: str = "example",
+    **options: float,
+) -> DataFrame:
+    """Score the test examples of every experiment with weights learned from its training examples."""
+    rows = stage(examples.select(*by, key, tokens, label, train))
+    weights = sequential_weights(rows.filter(train), by, tokens, label, key, **options)
+    return linear_scores(rows.filter(~F.col(train)).drop(train), stage(weights), by, tokens)
+
+
 def _bucketed(df: DataFrame, tokens: str, bits: int) -> DataFrame:
     words = F.transform(buckets(tokens, bits), lambda b: b.cast("string"))
     return df.withColumn("_words", words).withColumn("_one", F.lit(1.0))

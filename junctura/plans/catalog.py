@@ -21,7 +21,7 @@ from junctura.functions.sequence import base_gene
 from junctura.operators import anchors as anchoring
 from junctura.operators import annotate as parsing
 from junctura.operators import cleaning, handmade, language, metrics, negatives, neighbours
-from junctura.operators import ngrams, reports, resampling, splits
+from junctura.operators import models, ngrams, reports, resampling, splits
 from junctura.operators.cleaning import CLONOTYPE
 from junctura.operators.decoys import residue_weights, shuffled_decoy, with_resampled_decoy
 from junctura.operators.models import fit_logistic
@@ -639,16 +639,44 @@ def bucket_counts(spark: SparkSession, sf: str) -> DataFrame:
     return hashed.groupBy("bucket").agg(F.count("*").alias("n"))
 
 
+@query
+def control_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Training and held-out pairs of the seen-epitope control, with their negatives."""
+    data = stage(largest_epitopes(_annotated(spark, sf), cap=None))
+    return unseen.control_pairs(data).select("seed", "in_train", *CLONOTYPE, "label")
+
+
+@query
+def unseen_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of the unseen-epitope experiment; two folds, as the records hold five epitopes."""
+    data = stage(largest_epitopes(_annotated(spark, sf), cap=None))
+    return unseen.unseen_pairs(data, n_folds=2).select("seed", "fold", "in_train", *CLONOTYPE, "label")
+
+
+@query
+def linear_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of every clonotype under a table of weights, as a fit would return it."""
+    crossed = _crossed(spark, sf).withColumn("experiment", F.col("v")).withColumn("idx", buckets("tokens")).drop("tokens")
+    crossed = stage(crossed)
+    weight = (F.pmod(F.col("bucket") * 7919, F.lit(1009)) - 504) / 1000.0
+    learned = crossed.select("experiment", F.explode("idx").alias("bucket")).distinct()
+    weights = learned.withColumn("weight", weight).unionByName(
+        crossed.select("experiment").distinct().select("experiment", F.lit(-1).alias("bucket"), F.lit(0.25).alias("weight"))
+    )
+    scored = models.linear_scores(crossed, stage(weights), ["experiment"])
+    return scored.select(*CLONOTYPE, _r("score", "score"))
+
+
 @query
 def seen_control(spark: SparkSession, sf: str) -> DataFrame:
-    data = stage(largest_epitopes(_annotated(spark, sf)))
+    data = stage(largest_epitopes(_annotated(spark, sf), cap=None))
     return unseen.control_summary(stage(unseen.control_scores(data)))
 
 
 @query
 def unseen_epitopes(spark: SparkSession, sf: str) -> DataFrame:
     """Two folds here, as the derived records hold only five epitopes."""
-    data = stage(largest_epitopes(_annotated(spark, sf)))
+    data = stage(largest_epitopes(_annotated(spark, sf), cap=None))
     return unseen.unseen_summary(stage(unseen.unseen_scores(data, n_seeds=2, n_folds=2)))
 
 
@@ -659,7 +687,7 @@ def segment_logistic(spark: SparkSession, sf: str) -> DataFrame:
     anchors = paired.train_anchors(train)
     pairs = stage(negatives.swap_negatives(train, "challenge"))
     scored = fit_logistic(
-        paired.with_cross(pairs, anchors, "vjonly"), paired.with_cross(test, anchors, "vjonly"), max_iter=30
+        paired.with_cross(pairs, anchors, "vjonly"), paired.with_cross(test, anchors, "vjonly")
     )
     per = metrics.partial_auc(scored, ["Peptide"], "score", "Label")
     return metrics.flag_seen(per, train, "Peptide")

@@ -888,6 +888,74 @@ add(
     SELECT (xor(crc, 4294967295) & 262143)::INT bucket, sum(n)::BIGINT n FROM hashed GROUP BY ALL""",
     PARSED,
 )
+add(
+    "linear_scores",
+    f""", listed AS (
+      SELECT {KEYS}, unnest(flatten(list_transform(t, lambda a: list_transform(e, lambda b: a || '|' || b)))
+        || list_transform(t, lambda a: 'T!' || a) || list_transform(e, lambda b: 'E!' || b)) tok
+      FROM (SELECT {KEYS}, ({_parsed}) t, ({epitope_list('epitope')}) e FROM parsed)
+    ), hashed AS (
+      SELECT tok, (xor(list_reduce(
+        list_transform(range(1, length(tok) + 1), lambda i: ascii(substr(tok, i::INT, 1))::BIGINT),
+        lambda c, b: xor(c >> 8, {_crc_table()}[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) & 262143) bucket
+      FROM (SELECT DISTINCT tok FROM listed)
+    )
+    SELECT {KEYS}, round(0.25::DOUBLE + sum((bucket * 7919 % 1009 - 504) / 1000.0::DOUBLE), 6) score
+    FROM listed JOIN hashed USING (tok) GROUP BY ALL""",
+    PARSED,
+)
+
+
+def _seed_pairs(seed: int, kept: str, scope: list[str], known: str) -> str:
+    """Rows of ``kept`` and one negative for each, drawn within ``scope``; ``known`` lists what is recorded."""
+    at = ", ".join(scope)
+    free = "slots - len(taken)"
+    drawn = pick(free, seed, "'negative'", *scope, "cdr3", "v", "j", "epitope", "'1'")
+    return f"""(WITH kept AS ({kept}), pool AS (
+      SELECT *, row_number() OVER (PARTITION BY {at} ORDER BY {order('pool', 'epitope', seed=seed)}) - 1 slot,
+        count(*) OVER (PARTITION BY {at}) slots FROM (SELECT DISTINCT {at}, epitope FROM kept)
+    ), known AS ({known}), taken AS (
+      SELECT {at}, cdr3, v, j, list_sort(list(DISTINCT slot::BIGINT)) taken
+      FROM known JOIN pool USING ({at}, epitope) GROUP BY ALL
+    ), based AS (
+      SELECT k.*, s.slots, taken FROM kept k JOIN (SELECT DISTINCT {at}, slots FROM pool) s USING ({at})
+      JOIN taken USING ({at}, cdr3, v, j) WHERE {free} > 0
+    ), drawn AS (SELECT {at}, cdr3, v, j, {_skip.format('taken', drawn)} slot FROM based)
+    SELECT {seed} seed, {at}, {KEYS}, 1 AS label FROM kept
+    UNION ALL SELECT {seed}, {at}, cdr3, v, j, epitope, 0 FROM drawn JOIN pool USING ({at}, slot))"""
+
+
+LARGEST = f"""{PARSED}, rws AS (
+  SELECT {KEYS} FROM parsed WHERE epitope IN (
+    SELECT epitope FROM parsed GROUP BY epitope HAVING count(*) >= 150 ORDER BY count(*) DESC, epitope LIMIT 20)
+)"""
+
+
+def _control(seed: int) -> str:
+    ranked = f"""SELECT *, row_number() OVER (PARTITION BY epitope ORDER BY {order('within', *KEY, seed=seed)})
+      <= floor(count(*) OVER (PARTITION BY epitope) * 0.8::DOUBLE) in_train FROM rws"""
+    kept = f"""SELECT in_train, {KEYS} FROM ({ranked})
+      QUALIFY NOT in_train OR row_number() OVER (PARTITION BY epitope, in_train ORDER BY {order('cap', *KEY, seed=seed)}) <= 800"""
+    known = "SELECT b.in_train, k.cdr3, k.v, k.j, k.epitope FROM kept k, (VALUES (true), (false)) b(in_train)"
+    return f"SELECT seed, in_train, {KEYS}, label FROM {_seed_pairs(seed, kept, ['in_train'], known)}"
+
+
+def _unseen(seed: int) -> str:
+    dealt = f"""(SELECT epitope, (row_number() OVER (ORDER BY {order('fold', 'epitope', seed=seed)}) - 1) % 2 own
+      FROM (SELECT DISTINCT epitope FROM rws))"""
+    sides = f"""SELECT fold::INT fold, fold <> own in_train, r.*,
+        row_number() OVER (PARTITION BY epitope, fold ORDER BY {order('cap', *KEY, seed=seed)}) cp
+      FROM rws r JOIN {dealt} d USING (epitope), range(2) f(fold)"""
+    kept = f"""SELECT fold, in_train, {KEYS} FROM ({sides}) s
+      WHERE (in_train AND cp <= 800) OR (NOT in_train AND NOT EXISTS (
+        SELECT 1 FROM ({sides}) t WHERE t.in_train AND t.cp <= 800 AND t.fold = s.fold AND t.cdr3 = s.cdr3
+          AND t.v = s.v AND t.j = s.j))"""
+    pairs = _seed_pairs(seed, kept, ["fold", "in_train"], f"SELECT fold, in_train, {KEYS} FROM kept")
+    return f"SELECT seed, fold, in_train, {KEYS}, label FROM {pairs}"
+
+
+add("control_pairs", " UNION ALL ".join(_control(SEED + 999 + 31 * k) for k in range(3)), LARGEST)
+add("unseen_pairs", " UNION ALL ".join(_unseen(SEED + 1000 * k) for k in range(5)), LARGEST)
 
 # Text checks
 add(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from junctura.fixed import (
     CONTROL_PASS,
     CONTROL_SEEDS,
+    EPITOPE_CAP,
     EPITOPE_CLASS_FLOOR,
     FOLDS,
     MEAN_PLACES,
@@ -31,7 +33,7 @@ from junctura.operators.metrics import auc, over_seeds
 from junctura.operators.models import sequential_fits
 from junctura.operators.negatives import epitope_negatives
 from junctura.operators.resampling import bootstrap_mean
-from junctura.operators.splits import folds, split_within
+from junctura.operators.splits import capped, folds, split_within
 from junctura.session import stage
 
 ARMS = ["kmer3", "morpheme", "vjonly"]
@@ -65,45 +67,64 @@ def _per_seed(data: DataFrame, seeds: Sequence[int]) -> list[tuple[int, DataFram
     return [(seed, data.withColumn("seed", F.lit(seed))) for seed in seeds]
 
 
-def control_scores(data: DataFrame, n_seeds: int = CONTROL_SEEDS, arms: Sequence[str] = ARMS) -> DataFrame:
-    """Seen epitopes: clonotypes of every epitope split 80/20, one fit per seed and arm."""
+def control_pairs(data: DataFrame, n_seeds: int = CONTROL_SEEDS, cap: int = EPITOPE_CAP) -> DataFrame:
+    """Seen epitopes: clonotypes of every epitope split 80/20, each side with its own negatives.
+
+    At most ``cap`` training clonotypes of an epitope enter; every held-out one does.
+    """
     parts = []
     for seed, rows in _per_seed(data.select(*FIELDS), [SEED + 999 + 31 * k for k in range(n_seeds)]):
         split = stage(split_within(rows, "epitope", seed=seed))
-        pool = split.select("in_train", "epitope").distinct()
-        every = split.select("seed", *CLONOTYPE).distinct()
+        train = capped(split.filter("in_train"), "epitope", cap=cap, seed=seed)
+        kept = stage(train.unionByName(split.filter("NOT in_train")))
+        pool = kept.select("in_train", "epitope").distinct()
+        every = kept.select("seed", *CLONOTYPE).distinct()
         known = every.withColumn("in_train", F.explode(F.array(F.lit(True), F.lit(False))))
-        parts.append(epitope_negatives(split, pool, ["in_train"], seed=seed, known=known))
-    pairs = parts[0]
-    for part in parts[1:]:
-        pairs = pairs.unionByName(part)
-    return sequential_fits(examples(pairs, arms), ["seed", "arm"])
+        parts.append(epitope_negatives(kept, pool, ["in_train"], seed=seed, known=known))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def unseen_scores(
-    data: DataFrame, n_seeds: int = SEEDS, n_folds: int = FOLDS, arms: Sequence[str] = ARMS
+def control_scores(data: DataFrame, n_seeds: int = CONTROL_SEEDS, arms: Sequence[str] = ARMS) -> DataFrame:
+    """Test scores for seen epitopes: one fit per seed and arm."""
+    return sequential_fits(examples(control_pairs(data, n_seeds), arms), ["seed", "arm"])
+
+
+def unseen_pairs(
+    data: DataFrame, n_seeds: int = SEEDS, n_folds: int = FOLDS, cap: int = EPITOPE_CAP
 ) -> DataFrame:
-    """Unseen epitopes: every fold's epitopes held out, receptors shared with training removed."""
+    """Unseen epitopes: every fold's epitopes held out, receptors shared with training removed.
+
+    At most ``cap`` training clonotypes of an epitope enter; every held-out one does.
+    """
     parts = []
     for seed, rows in _per_seed(data.select(*FIELDS), [SEED + 1000 * k for k in range(n_seeds)]):
         dealt = stage(folds(rows, "epitope", n_folds, seed).withColumnRenamed("fold", "own_fold"))
         every = F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1)))
-        sides = stage(
-            rows.join(dealt, "epitope")
-            .withColumn("fold", every)
-            .withColumn("in_train", F.col("fold") != F.col("own_fold"))
-            .drop("own_fold")
-        )
-        train = sides.filter("in_train")
+
+        def sided(some: DataFrame, dealt: DataFrame = dealt, every: Column = every) -> DataFrame:
+            return (
+                some.join(dealt, "epitope")
+                .withColumn("fold", every)
+                .withColumn("in_train", F.col("fold") != F.col("own_fold"))
+                .drop("own_fold")
+            )
+
+        train = stage(sided(capped(rows, "epitope", cap=cap, seed=seed)).filter("in_train"))
         receptor = ["fold", "cdr3", "v", "j"]
-        test = sides.filter("NOT in_train").join(train.select(*receptor).distinct(), receptor, "left_anti")
+        test = sided(rows).filter("NOT in_train").join(train.select(*receptor).distinct(), receptor, "left_anti")
         kept = stage(train.unionByName(test))
         pool = kept.select("fold", "in_train", "epitope").distinct()
         parts.append(epitope_negatives(kept, pool, ["fold", "in_train"], seed=seed))
-    pairs = parts[0]
-    for part in parts[1:]:
-        pairs = pairs.unionByName(part)
-    scored = examples(pairs, arms).withColumn("example", F.concat_ws("|", "epitope", "example"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def unseen_scores(
+    data: DataFrame, n_seeds: int = SEEDS, n_folds: int = FOLDS, arms: Sequence[str] = ARMS
+) -> DataFrame:
+    """Test scores for unseen epitopes: one fit per seed, fold and arm."""
+    scored = examples(unseen_pairs(data, n_seeds, n_folds), arms).withColumn(
+        "example", F.concat_ws("|", "epitope", "example")
+    )
     return sequential_fits(scored, ["seed", "fold", "arm"]).withColumn(
         "epitope", F.split_part("example", F.lit("|"), F.lit(1))
     )
@@ -141,10 +162,15 @@ def epitope_deltas(scored: DataFrame, a: str = "morpheme", b: str = "kmer3",
     )
 
 
-def unseen_verdict(deltas: DataFrame, control_ok: bool, resamples: int = MEAN_RESAMPLES) -> DataFrame:
+def unseen_verdict(
+    deltas: DataFrame,
+    control_ok: bool,
+    resamples: int = MEAN_RESAMPLES,
+    places: tuple[int, int] = MEAN_PLACES,
+) -> DataFrame:
     """Pooled interval of the differences, seeds in favour, and the resulting statement."""
     deltas = stage(deltas)
-    pooled = bootstrap_mean(deltas, "delta", ["seed", "epitope"], (), resamples, minimum=1, places=MEAN_PLACES)
+    pooled = bootstrap_mean(deltas, "delta", ["seed", "epitope"], (), resamples, minimum=1, places=places)
     seeds = (
         deltas.groupBy("seed")
         .agg(F.avg("delta").alias("d"))

@@ -57,6 +57,7 @@ def test_sequential_fit_learns_and_refuses_large_groups(spark):
     assert len(scored) == 40 and all((r["score"] > 0) == (r["label"] == 1) for r in scored)
     with pytest.raises(ValueError):
         models.sequential_fits(df, ["arm"], max_rows=10)
+    assert models.sequential_fits(df, ["arm"], max_rows=80).count() == 40
 
 
 def test_logistic_margin_matches_direct_minimisation(spark):
@@ -89,10 +90,10 @@ def test_benchmark_small(spark):
 
 def test_unseen_verdict(spark):
     deltas = spark.createDataFrame([(s, f"e{k}", 0.05 + k / 1000) for s in range(3) for k in range(5)], "seed int, epitope string, delta double")
-    assert unseen.unseen_verdict(deltas, True, 200).first()["verdict"] == "better in every seed"
-    assert unseen.unseen_verdict(deltas, False, 200).first()["verdict"] == "invalid"
+    assert unseen.unseen_verdict(deltas, True, 200, (5, 195)).first()["verdict"] == "better in every seed"
+    assert unseen.unseen_verdict(deltas, False, 200, (5, 195)).first()["verdict"] == "invalid"
     mixed = deltas.withColumn("delta", F.when(F.col("seed") == 0, -F.col("delta")).otherwise(F.col("delta") / 10))
-    assert unseen.unseen_verdict(mixed, True, 200).first()["verdict"] == "no reliable advantage"
+    assert unseen.unseen_verdict(mixed, True, 200, (5, 195)).first()["verdict"] == "no reliable advantage"
 
 
 def test_pools_agree_with_schemes(spark):
