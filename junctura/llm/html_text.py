@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -107,6 +108,8 @@ def parse(source: str) -> Page:
     page = Page()
     stack = [0]
     tags = page.tags
+    # How many elements of each tag are open, so that deep pages aren't searched in vain.
+    opened: Counter[str] = Counter()
 
     def text(raw: str) -> None:
         if raw:
@@ -116,11 +119,15 @@ def parse(source: str) -> Page:
 
     def close(depth: int) -> None:
         while len(stack) > depth:
-            if tags[stack.pop()] in BLOCKS:
+            tag = tags[stack.pop()]
+            opened[tag] -= 1
+            if tag in BLOCKS:
                 page.flow.append(None)
 
     def close_implied(names: frozenset[str], stop: frozenset[str]) -> None:
         outermost = 0
+        if not any(opened[n] for n in names):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             tag = tags[stack[depth]]
             if tag in stop:
@@ -150,6 +157,8 @@ def parse(source: str) -> Page:
         if not tag:
             continue
         if token["end"]:
+            if not opened[tag]:
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if tags[stack[depth]] == tag:
                     close(depth)
@@ -177,6 +186,7 @@ def parse(source: str) -> Page:
             at = end.end() if end else size
             continue
         stack.append(node)
+        opened[tag] += 1
     return page
 
 
