@@ -31,6 +31,11 @@ HEADLINE = [
     "challenge_negatives",
     "epitope_negatives",
     "feature_cross",
+    "permuted_labels",
+    "trim_control",
+    "hard_negatives",
+    "external_export",
+    "control_pairs",
 ]
 
 
@@ -49,7 +54,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}
-    # The record tables stand for input files; writing them is timed apart from the queries.
+    # The record tables stand for input files; writing them is listed apart and counts in the total.
     start = time.perf_counter()
     tables.receptor_records(spark, sf_dir)
     tables.paired_records(spark, sf_dir)
@@ -62,8 +67,8 @@ def main() -> None:
     print(
         json.dumps(
             {
-                "metric": "headline queries, total time",
-                "value": round(sum(times.values()), 3),
+                "metric": "headline queries and deriving their records, total time",
+                "value": round(sum(times.values()) + derive, 3),
                 "unit": "sec",
                 "queries": times,
                 "derive_records": round(derive, 3),
