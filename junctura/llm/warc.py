@@ -237,7 +237,8 @@ def revisit_plan(pages: DataFrame, key: str, payload: str, least_bytes: int) ->
     ).filter(F.col("bytes") >= least_bytes)
     digests = stage(digests, "digests")
     last = digests.groupBy("digest", "bytes").agg(F.max("page").alias("refers_to"), F.count(F.lit(1)).alias("n"))
-    last = last.filter("n > 1").drop("n")
+    # Written, so that both sides of the join are plain shuffles, of which Spark can split a hot digest.
+    last = stage(last.filter("n > 1").drop("n"), "repeated")
     joined = digests.join(last, ["digest", "bytes"])
     return joined.filter(~F.col("page").eqNullSafe(F.col("refers_to"))).select("page", "digest", "refers_to").distinct()
 
