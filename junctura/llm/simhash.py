@@ -146,7 +146,9 @@ def near_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
         ]
     )
     tables = fps.select("fp", F.explode(keys).alias("k")).select("k.t", "k.bucket", "fp")
+    # Written, so that both sides of the join are plain shuffles, of which Spark can split a hot bucket.
     sizes = tables.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sizes = stage(sizes, "sizes")
     members = stage(tables.join(sizes, ["t", "bucket"]), "members")
     small = _small_bucket_links(members.filter(F.col("size") <= bucket), radius)
     large = _large_bucket_links(members.filter(F.col("size") > bucket), masks, radius)
@@ -178,7 +180,7 @@ def near_groups(
         ),
         "roots",
     )
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    lows = stage(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
     named = rooted.select("fp", "root").join(lows, "root").select("fp", "component_id")
     return found.join(named, "fp").select(
         F.col("key").alias(key),
