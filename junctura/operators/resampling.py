@@ -19,7 +19,7 @@ def resample_counts(items: DataFrame, by: Sequence[str], key: Sequence[str], res
     """How often each item of a group is drawn in each resample: as many draws as items, with
     replacement. Items are numbered, every (resample, draw) picks a number, and repeats collapse
     to a count before meeting the items again."""
-    numbered = stage(hash_rank(items, by, key, seed, "item").withColumnRenamed("rank", "item"))
+    numbered = stage(hash_rank(stage(items), by, key, seed, "item").withColumnRenamed("rank", "item"))
     draws = (
         numbered.select(*by, "size", F.col("item").alias("draw"))
         .withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))

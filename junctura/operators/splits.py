@@ -21,7 +21,7 @@ def with_home_study(df: DataFrame) -> DataFrame:
 def study_holdout(df: DataFrame, seed: int = SEED, share: int = 5) -> DataFrame:
     """Add ``held_out``: one study in ``share`` (at least one) is set aside as a whole."""
     rows = with_home_study(df)
-    ranked = hash_rank(rows.select("home").distinct(), [], ["home"], seed, "study")
+    ranked = hash_rank(stage(rows.select("home").distinct()), [], ["home"], seed, "study")
     held = stage(
         ranked.select(
             "home",
@@ -87,7 +87,7 @@ def keep_groups(
     pairs: DataFrame, group: str, fraction: float, floor: int, seed: int, salt: str = "curve"
 ) -> DataFrame:
     """Rows of a pseudo-random share of the groups, each kept whole; at least ``floor`` groups."""
-    ranked = hash_rank(pairs.select(group).distinct(), [], [group], seed, salt)
+    ranked = hash_rank(stage(pairs.select(group).distinct()), [], [group], seed, salt)
     wanted = F.greatest(F.lit(floor).cast("bigint"), F.floor(F.col("size") * fraction))
     return pairs.join(ranked.filter(F.col("rank") <= wanted).select(group), group, "left_semi")
 
@@ -96,6 +96,6 @@ def validation_split(
     pairs: DataFrame, group: str, share: float = VALIDATION_SHARE, seed: int = SEED
 ) -> DataFrame:
     """Add ``in_validation`` so that a positive and its negatives stay on one side."""
-    ranked = hash_rank(pairs.select(group).distinct(), [], [group], seed, "validation")
+    ranked = hash_rank(stage(pairs.select(group).distinct()), [], [group], seed, "validation")
     side = ranked.select(group, (F.col("rank") <= F.floor(F.col("size") * share)).alias("in_validation"))
     return pairs.join(side, group)
