@@ -192,9 +192,13 @@ def near_groups(
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The row with the smallest key of each component, with its columns as they are.
 
-    Rows that repeat that key all stay; drop exact copies first. Only the keys to drop are joined back.
+    Rows of a component that repeat that key all stay; drop exact copies first. Rows are told apart
+    by a number of their own, so a null or repeated key drops no row of another component.
     """
-    gone = near_groups(docs, key, text).filter(~F.col(key).eqNullSafe(F.col("component_id")))
-    gone = stage(gone.select(F.col(key).alias("key")).distinct(), "gone")
-    rows = packed(docs, key=F.col(f"`{key}`"))
-    return rows.join(gone, rows.key.eqNullSafe(gone.key), "left_anti").select("doc.*")
+    rows = stage(packed(docs, id=F.monotonically_increasing_id()), "rows")
+    own = rows.select("id", F.col(f"doc.`{key}`").alias("key"), F.col(f"doc.`{text}`").alias("body"))
+    groups = near_groups(own, "id", "body").select("id", F.col("component_id").alias("root"))
+    keys = stage(own.select("id", "key").join(groups, "id"), "keys")
+    lows = stage(keys.groupBy("root").agg(F.min("key").alias("low")), "lows")
+    gone = stage(keys.join(lows, "root").filter(~F.col("key").eqNullSafe(F.col("low"))).select("id"), "gone")
+    return rows.join(gone, "id", "left_anti").select("doc.*")
