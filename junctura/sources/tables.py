@@ -15,6 +15,14 @@ J_ENDS = "YEQYF NEQFF DTQYF YGYTF TEAFF GELFF".split()
 V_GENES = "TRBV19 TRBV20-1 TRBV29-1 TRBV30 TRBV15 TRBV27 TRBV5-9 TRBV10-3".split()
 J_GENES = "TRBJ2-7 TRBJ2-1 TRBJ2-3 TRBJ1-2 TRBJ1-1 TRBJ2-2".split()
 PEPTIDES = ["GILGFVFTL", "NLVPMVATV", "GLCTLVAML", "GILGFVFTV", "ELAGIGILTV"]
+# Enough epitopes for five folds with several in each.
+MANY_PEPTIDES = [
+    *PEPTIDES,
+    *"""
+    LLWNGPMAV KLGGALQAK RAKFKQLL AVFDRKSDAK TTDPSFLGRY YLQPRTFLL IVTDFSVIK SPRWYFYYL LTDEMIAQY RLRAEAQVK
+    ATDALMTGF NQKLIANQF KRWIILGLNK TPRVTGGGAM RPHERNGFTVL CINGVCWTV FLKEKGGL KAFSPEVIPMF EAAGIGILTV GTSGSPIVNR
+    """.split(),
+]
 
 
 _written: dict[tuple[str, str, str], DataFrame] = {}
@@ -89,7 +97,13 @@ def receptor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "receptors", lambda: _receptors(spark, sf_dir))
 
 
-def _receptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def many_receptor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records over ``MANY_PEPTIDES``, for experiments that hold out folds of epitopes."""
+    epitope = _entry(MANY_PEPTIDES, (F.col("pk") + F.col("sk")) % len(MANY_PEPTIDES))
+    return _once(spark, sf_dir, "many receptors", lambda: _receptors(spark, sf_dir, epitope))
+
+
+def _receptors(spark: SparkSession, sf_dir: str, epitope: Column | None = None) -> DataFrame:
     ok, pk, rid = F.col("ok"), F.col("pk"), F.col("rid")
     return _base(spark, sf_dir).select(
         F.when(rid % 31 == 0, F.concat(F.lit(" "), F.lower("cdr3"), F.lit(" ")))
@@ -98,7 +112,7 @@ def _receptors(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("cdr3.beta"),
         F.col("v_call").alias("v.beta"),
         F.when(rid % 53 == 0, "").otherwise(F.col("j_call")).alias("j.beta"),
-        _entry(PEPTIDES, F.col("ei")).alias("antigen.epitope"),
+        (_entry(PEPTIDES, F.col("ei")) if epitope is None else epitope).alias("antigen.epitope"),
         F.when(rid % 29 == 0, "MusMusculus").otherwise("HomoSapiens").alias("species"),
         F.concat(F.lit("HLA-A*0"), (pk % 3 + 1).cast("string")).alias("mhc.a"),
         F.when(ok % 23 == 7, "")
