@@ -326,6 +326,13 @@ def trim_control(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(table, "flat", "morpheme", "permuted", "gap", "retained")
 
 
+@query
+def trim_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """The trim control with the paired bootstrap interval of every trim's gap."""
+    table = grammar.trim_control(_annotated(spark, sf))
+    return _rounded(table, "flat", "morpheme", "permuted", "gap", "retained", "lo", "hi")
+
+
 # Ranking metrics on labelled documents
 
 

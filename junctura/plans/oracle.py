@@ -485,6 +485,22 @@ add(
     SELECT trim, decoy, round(gaps[6], 6) lo, round(gaps[196], 6) hi FROM s""",
     _boot,
 )
+add(
+    "trim_intervals",
+    f""", areas AS {_areas}, t AS (
+      SELECT trim, max(n_pos) pairs, max(auc) FILTER (model = 'flat') flat,
+        max(auc) FILTER (model = 'morpheme') morpheme, max(auc) FILTER (model = 'permuted') permuted
+      FROM areas GROUP BY trim
+    ), g AS (
+      SELECT trim, resample, max(auc) FILTER (model = 'morpheme') - max(auc) FILTER (model = 'flat') gap
+      FROM {area('drawn', 'trim, decoy, resample, model', 'score', 'label')} GROUP BY ALL
+    ), s AS (SELECT trim, list_sort(list(gap)) gaps FROM g GROUP BY ALL)
+    SELECT trim, pairs, round(flat, 6) flat, round(morpheme, 6) morpheme, round(permuted, 6) permuted,
+      round(morpheme - flat, 6) gap,
+      round((morpheme - flat) / (SELECT morpheme - flat FROM t WHERE trim = 'none'), 6) retained,
+      round(gaps[6], 6) lo, round(gaps[196], 6) hi FROM t JOIN s USING (trim)""",
+    _boot.replace(grammar(TRIMS[:1], False), grammar(TRIMS, False)),
+)
 
 # Ranking metrics
 LABELLED = "labelled AS (SELECT l.*, lang, source, n_chars FROM labels l JOIN documents USING (doc_id))"
