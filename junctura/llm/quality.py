@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from junctura.llm.shared import SPACES, WORDS
 
 # Frequent function words of English, German, French and Spanish.
+STOP_WORD_LANGS = ["en", "de", "fr", "es"]
 STOP_WORDS = """
 the of and to a in is that it for on as with was by this be at from are or an not have
 der die und den von das mit sich des auf für ist im dem nicht ein eine als auch es zu
@@ -167,8 +168,16 @@ def judge(
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text breaks no rule, with their columns as they are."""
-    return judge(docs, text).filter("kept").select("doc.*")
+    """The rows of ``docs`` whose text breaks no rule, with their columns as they are.
+
+    Where there is a column ``lang``, the rule on stop words holds for the four languages it knows
+    and for null only.
+    """
+    judged, kept = judge(docs, text), F.col("kept")
+    if "lang" in docs.columns:
+        alone = F.col("failed") == F.array(F.lit("stop words"))
+        kept |= alone & F.coalesce(~F.col("doc.lang").isin(STOP_WORD_LANGS), F.lit(False))
+    return judged.filter(kept).select("doc.*")
 
 
 def verdict_sql() -> str:

@@ -85,3 +85,11 @@ def test_null_and_repeated_keys_drop_their_own_rows_only(spark, drop):
     rows = [(1, a), (None, a.upper()), (None, d), (5, b), (6, b.upper()), (5, c), (4, c.upper())]
     got = Counter((r.doc_id, r.text) for r in drop(frame(spark, rows)).collect())
     assert got == Counter([(1, a), (None, d), (5, b), (4, c.upper())])
+
+
+def test_stop_words_are_asked_of_known_languages_only(spark):
+    text = " ".join(f"zx{i}q" for i in range(90))
+    langs = ["en", "de", None, "pl", "pl"]
+    rows = [(i, text if i < 4 else "krótki", lang, "s", 0) for i, lang in enumerate(langs)]
+    got = corpus_pipeline.quality_rules(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert [r.doc_id for r in got] == [3]
