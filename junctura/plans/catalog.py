@@ -24,7 +24,6 @@ from junctura.operators import cleaning, handmade, language, metrics, negatives,
 from junctura.operators import models, ngrams, reports, resampling, splits
 from junctura.operators.cleaning import CLONOTYPE
 from junctura.operators.decoys import residue_weights, shuffled_decoy, with_resampled_decoy
-from junctura.operators.models import fit_logistic
 from junctura.plans import benchmark as paired
 from junctura.plans import grammaticality as grammar
 from junctura.plans import unseen
@@ -690,15 +689,11 @@ def unseen_epitopes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def segment_logistic(spark: SparkSession, sf: str) -> DataFrame:
-    """The distributed model on segment tokens: partial AUC by peptide."""
+    """The distributed model on the tokens of every arm: partial AUC by arm and peptide."""
     train, test = stage(tables.binders(spark, sf)), stage(tables.challenge(spark, sf))
     anchors = paired.train_anchors(train)
     pairs = stage(negatives.swap_negatives(train, "challenge"))
-    scored = fit_logistic(
-        paired.with_cross(pairs, anchors, "vjonly"), paired.with_cross(test, anchors, "vjonly")
-    )
-    per = metrics.partial_auc(scored, ["Peptide"], "score", "Label")
-    return metrics.flag_seen(per, train, "Peptide")
+    return paired.peptide_scores(stage(paired.model_scores(pairs, test, anchors)), train)
 
 
 # Text checks

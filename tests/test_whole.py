@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from junctura.plans import unseen
+from junctura.plans import benchmark, unseen
 from junctura.sources import tables
 from tests.test_plans import SF, TABLES, rows
 
@@ -40,3 +40,12 @@ def test_unseen_epitopes_run_the_whole_grid(spark, monkeypatch):
     got = sides.collect()
     assert len(got) == 25 and all(r.p and r.n for r in got)
     assert all(0 <= r["mean"] <= 1 for r in summary(scored).collect())
+
+
+def test_segment_logistic_fits_every_arm(spark, monkeypatch):
+    # The fit itself has tests of its own; here it only tells which arms reach it.
+    monkeypatch.setattr(benchmark, "fit_logistic", lambda train, test, **o: test.withColumn("score", F.size("tokens")))
+    got = contract.queries()["segment_logistic"](spark, SF).collect()
+    arms = {r.arm for r in got}
+    assert arms == {"kmer3", "morpheme", "vjonly", "cdr123"}
+    assert len({frozenset(r.Peptide for r in got if r.arm == a) for a in arms}) == 1
