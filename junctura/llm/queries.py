@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from junctura.llm.best_fit import pack_best_fit
 from junctura.llm.chat import conversation_digests, format_turns
 from junctura.llm.exact_dedup import exact_groups
 from junctura.llm.html_text import extract
@@ -16,7 +17,10 @@ from junctura.llm.quality import judge, verdict_sql
 from junctura.llm.shared import stage
 from junctura.llm.simhash import near_groups
 from junctura.llm.token_count import token_counts
+from junctura.llm.turns import audit_turns, damage_turns
+from junctura.llm.turns_sql import repair_sql
 from junctura.llm.warc import round_trip
+from junctura.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +102,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(formatted).withColumnRenamed("conv", "conv_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return audit_turns(damage_turns(conversations), conversations)
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_best_fit(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
@@ -109,6 +126,9 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_whitening": op11_whitening,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_best_fit": op13_best_fit,
 }
 
 ORACLE_SQL = {
@@ -146,4 +166,5 @@ ORACLE_SQL = {
                    END)::BIGINT AS formatted_chars
         FROM f GROUP BY conv_id
     """,
+    "op12_turn_repair": repair_sql(),
 }
