@@ -6,7 +6,7 @@ import re
 import unicodedata
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,56 +17,71 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from junctura.llm.packing import _byte_of_char
 from junctura.llm.shared import stage
 
 ROOM = 4096
 END_ID = 1
-# Words whose ids a worker remembers, and the longest of them in characters.
-CACHE_WORDS = 1 << 18
+# Runs of text whose ids a worker remembers (twice as many at most), and the longest of them in characters.
+CACHE_RUNS = 1 << 19
 CACHE_CHARS = 64
 
 # Fixed value: the split pattern of the vocabulary's tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-# Characters that Python and the library surely lower-case and classify alike: Latin, Greek (but for
-# the capital sigma, whose lower case depends on its place), Cyrillic, punctuation and currency signs.
+# Characters that Python and the library surely lower-case, classify and take for white space alike: Latin,
+# Greek (but for the capital sigma, whose lower case depends on its place), Cyrillic, punctuation and
+# currency signs, without the controls that only Python takes for white space.
 _PLAIN = re.compile("[\x00-\x1b\x20-΢Τ-ԯ‐-‧‰-⁞₠-₿]*")
 
 
+class _Runs(dict):
+    """Ids of runs as little-endian bytes, worked out when first asked for; those not asked for lately go."""
+
+    def __init__(self, encode: Callable[[str], list[int]]) -> None:
+        self._encode, self._old = encode, {}
+
+    def __missing__(self, run: str) -> bytes:
+        found = self._old.get(run)
+        if found is None:
+            found = np.array(self._encode(run), "<u4").tobytes()
+        if len(run) <= CACHE_CHARS:
+            if len(self) >= CACHE_RUNS:
+                self._old = dict(self)
+                self.clear()
+            self[run] = found
+        return found
+
+
 class WordEncoder:
     """Ids of a tokenizer that splits normalised text into words and then encodes each word alone."""
 
     def __init__(self, vocabulary: str) -> None:
         self._whole = Tokenizer.from_str(vocabulary)
-        self._words = regex.compile(PATTERN)
+        self._model = self._whole.model
+        self._split = regex.compile(PATTERN)
         special = [t.content for t in self._whole.get_added_tokens_decoder().values()]
         self._special = re.compile("|".join(map(re.escape, special))) if special else None
-        self._known: dict[str, list[int]] = {}
+        self._chars = {b: c for c, b in _byte_of_char().items()}
+        self._known = _Runs(self._of_run)
 
-    def _library(self, text: str) -> list[int]:
-        return self._whole.encode(text, add_special_tokens=False).ids
+    def _of_run(self, run: str) -> list[int]:
+        """The ids of a run without white space, in lower case already, from the library's model."""
+        words = self._split.findall(run)
+        made = (self._model.tokenize(w.encode().decode("latin-1").translate(self._chars)) for w in words)
+        return [t.id for tokens in made for t in tokens]
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text as uint32, the same as the library gives for it as a whole.
 
-        Text of plain characters is lower-cased and split here, and the library is asked for each word
-        not met before; other text, and strings of special tokens, go to the library whole.
+        Text of plain characters is lower-cased and cut at white space here, which no word spans, and the
+        library's model is asked for the words of each run not met before; other text, and strings of
+        special tokens, go to the library whole.
         """
-        if not _PLAIN.fullmatch(text) or not unicodedata.is_normalized("NFC", text):
-            return np.array(self._library(text), np.uint32)
-        if self._special and self._special.search(text):
-            return np.array(self._library(text), np.uint32)
-        known, ids = self._known, []
-        for word in self._words.findall(text.lower()):
-            found = known.get(word)
-            if found is None:
-                found = self._library(word)
-                if len(word) <= CACHE_CHARS:
-                    if len(known) >= CACHE_WORDS:
-                        known.clear()
-                    known[word] = found
-            ids += found
-        return np.array(ids, np.uint32)
+        special = self._special and self._special.search(text)
+        if special or not _PLAIN.fullmatch(text) or not unicodedata.is_normalized("NFC", text):
+            return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.frombuffer(b"".join(map(self._known.__getitem__, text.lower().split())), "<u4")
 
 
 class Rooms:
