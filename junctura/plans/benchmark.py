@@ -12,11 +12,12 @@ from junctura.fixed import (
     CURVE_GROUP_FLOOR,
     CURVE_SEEDS,
     FRACTIONS,
+    LOOPS,
     SCHEMES,
     SEED,
 )
+from junctura.functions.crossing import SIDES, codes
 from junctura.functions.features import (
-    cross_tokens,
     kmer_tokens,
     loop_tokens,
     parsed_tokens,
@@ -27,7 +28,7 @@ from junctura.functions.features import (
 from junctura.functions.sequence import base_gene
 from junctura.operators import annotate as parsing
 from junctura.operators.metrics import flag_seen, macro_mean, partial_auc
-from junctura.operators.models import fit_logistic
+from junctura.operators.logistic import fit_weights, margins
 from junctura.operators.negatives import peptide_index, swap_negatives
 from junctura.operators.neighbours import nearest_binder, nearest_loops
 from junctura.operators.reports import loop_export
@@ -44,6 +45,11 @@ def _receptors(rows: DataFrame) -> DataFrame:
     )
 
 
+def read_columns(rows: DataFrame) -> list[str]:
+    """What the parse and the tokens of all arms read."""
+    return [c for c in ("Peptide", "HLA", "Vb", "Jb", *LOOPS) if c in rows.columns]
+
+
 def train_anchors(train: DataFrame, min_support: int = BENCHMARK_SUPPORT) -> DataFrame:
     """Anchors of the training receptors themselves."""
     rows = _receptors(train.filter(F.col("CDR3b").isNotNull())).select("cdr3", "v", "j")
@@ -68,24 +74,34 @@ def arm_tokens(arm: str) -> Column:
     }[arm]()
 
 
-def with_cross(rows: DataFrame, anchors: DataFrame, arm: str, cap: int | None = None) -> DataFrame:
-    prepared = with_parts(rows, anchors)
-    return prepared.select(
-        *rows.columns, cross_tokens(arm_tokens(arm), peptide_tokens("Peptide", "HLA"), cap).alias("tokens")
-    )
+def with_codes(rows: DataFrame, anchors: DataFrame, arms: Sequence[str] = ARMS) -> DataFrame:
+    """``rows`` under every arm, with the hashed tokens of both sides in place of their cross."""
+    sides = F.array(*[F.struct(F.lit(a).alias("arm"), codes(arm_tokens(a)).alias("left")) for a in arms])
+    prepared = with_parts(rows, anchors).withColumn("_arm", F.explode(sides))
+    right = codes(peptide_tokens("Peptide", "HLA")).alias("right")
+    return prepared.select(*rows.columns, "_arm.arm", "_arm.left", right)
 
 
 def model_scores(
-    pairs: DataFrame, test: DataFrame, anchors: DataFrame, arms: Sequence[str] = ARMS, max_iter: int = 100
+    pairs: DataFrame,
+    test: DataFrame,
+    anchors: DataFrame,
+    arms: Sequence[str] = ARMS,
+    max_iter: int = 100,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Test margins of one distributed fit per arm, as ``(arm, Peptide, Label, score)``."""
-    scored = None
-    for arm in arms:
-        part = fit_logistic(
-            with_cross(pairs, anchors, arm), with_cross(test, anchors, arm), max_iter=max_iter
-        ).select(F.lit(arm).alias("arm"), "Peptide", "Label", "score")
-        scored = part if scored is None else scored.unionByName(part)
-    return scored
+    """Test margins of one distributed fit per arm, as ``(by.., arm, Peptide, Label, score)``.
+
+    With ``by`` there is a fit for each of its values among the pairs as well, all in the same passes.
+    """
+    by = list(by)
+    train = with_codes(pairs.select(*by, *read_columns(pairs), "label"), anchors, arms)
+    names, weights, _ = fit_weights(train, SIDES, by=[*by, "arm"], max_iter=max_iter)
+    tests = with_codes(test, anchors, arms)
+    if by:
+        tests = tests.crossJoin(F.broadcast(pairs.select(*by).distinct()))
+    scored = margins(tests.select(*by, "arm", "Peptide", "Label", *SIDES), names, weights, SIDES, [*by, "arm"])
+    return scored.drop(*SIDES)
 
 
 def baseline_scores(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -150,13 +166,13 @@ def negative_schemes(
     """All, seen and unseen means by negative scheme and arm."""
     train, test = stage(train), stage(test)
     anchors, index = train_anchors(train), peptide_index(train)
-    results = None
+    pairs = None
     for scheme in schemes:
-        pairs = stage(swap_negatives(train, scheme, exclude_binders=True, index=index))
-        scored = model_scores(pairs, test, anchors, arms, max_iter).withColumn("scheme", F.lit(scheme))
-        results = scored if results is None else results.unionByName(scored)
+        made = swap_negatives(train, scheme, exclude_binders=True, index=index).withColumn("scheme", F.lit(scheme))
+        pairs = made if pairs is None else pairs.unionByName(made)
+    scored = model_scores(stage(pairs), test, anchors, arms, max_iter, ["scheme"])
     by = ["scheme", "arm"]
-    return seen_unseen(peptide_scores(stage(results), train, by), by)
+    return seen_unseen(peptide_scores(stage(scored), train, by), by)
 
 
 def learning_curve(
@@ -171,18 +187,17 @@ def learning_curve(
     train, test = stage(train), stage(test)
     anchors = train_anchors(train)
     pairs = stage(swap_negatives(train, "challenge"))
-    results, sizes = None, []
+    kept = None
     for fraction in fractions:
         for k in range(n_seeds):
-            kept = stage(keep_groups(pairs, "grp", fraction, CURVE_GROUP_FLOOR, SEED + 17 * k))
-            sizes.append((fraction, k, kept.count()))
-            scored = model_scores(kept, test, anchors, arms, max_iter).select(
-                "*", F.lit(fraction).alias("fraction"), F.lit(k).alias("run")
-            )
-            results = scored if results is None else results.unionByName(scored)
+            part = keep_groups(pairs, "grp", fraction, CURVE_GROUP_FLOOR, SEED + 17 * k)
+            part = part.withColumns({"fraction": F.lit(fraction), "run": F.lit(k)})
+            kept = part if kept is None else kept.unionByName(part)
+    kept = stage(kept)
+    scored = model_scores(kept, test, anchors, arms, max_iter, ["fraction", "run"])
     by = ["fraction", "run", "arm"]
-    means = seen_unseen(peptide_scores(stage(results), train, by), by)
-    table = train.sparkSession.createDataFrame(sizes, "fraction double, run int, pairs bigint")
+    means = seen_unseen(peptide_scores(stage(scored), train, by), by)
+    table = kept.groupBy("fraction", "run").agg(F.count("*").alias("pairs"))
     averaged = means.join(table, ["fraction", "run"]).groupBy("fraction")
 
     def mean(arm: str, value: str) -> Column:

@@ -19,14 +19,8 @@ from junctura.fixed import (
     SEED,
     SEEDS,
 )
-from junctura.functions.features import (
-    buckets,
-    cross_tokens,
-    kmer_tokens,
-    parsed_tokens,
-    peptide_tokens,
-    segment_tokens,
-)
+from junctura.functions.crossing import SIDES, codes
+from junctura.functions.features import kmer_tokens, parsed_tokens, peptide_tokens, segment_tokens
 from junctura.functions.sequence import digest
 from junctura.operators.cleaning import CLONOTYPE
 from junctura.operators.metrics import auc, over_seeds
@@ -49,18 +43,20 @@ def receptor_tokens(arm: str) -> Column:
 
 
 def examples(pairs: DataFrame, arms: Sequence[str] = ARMS) -> DataFrame:
-    """Hashed cross tokens of every pair under every arm; all arms share the same pairs."""
-    sides = F.array(
-        *[F.struct(F.lit(a).alias("arm"), receptor_tokens(a).alias("tokens")) for a in arms]
-    )
-    return (
-        pairs.withColumn("_e", peptide_tokens("epitope"))
-        .withColumn("_a", F.explode(sides))
-        .withColumn("arm", F.col("_a.arm"))
-        .withColumn("idx", buckets(cross_tokens("_a.tokens", "_e")))
-        .withColumn("example", digest(*CLONOTYPE, F.col("label")))
-        .drop("_a", "_e")
-    )
+    """Both sides of the hashed cross of every pair under every arm; all arms share the same pairs.
+
+    Tokens are made and hashed once for each receptor and each epitope, not for each pair.
+    """
+    of = [c for c in FIELDS if c != "epitope"]
+    pairs = stage(pairs)
+    hashed = F.array(*[F.struct(F.lit(a).alias("arm"), codes(receptor_tokens(a)).alias("left")) for a in arms])
+    # A struct compares nulls as equal.
+    receptor = F.struct(*of).alias("receptor")
+    left = stage(pairs.select(*of).distinct().select(receptor, hashed.alias("hashed")))
+    right = stage(pairs.select("epitope").distinct().withColumn("right", codes(peptide_tokens("epitope"))))
+    rows = pairs.join(left, receptor == left.receptor).join(right, "epitope").drop("receptor")
+    rows = rows.withColumn("example", digest(*CLONOTYPE, F.col("label"))).withColumn("_a", F.explode("hashed"))
+    return rows.select(*pairs.columns, "example", "_a.arm", "_a.left", "right")
 
 
 def _per_seed(data: DataFrame, seeds: Sequence[int]) -> list[tuple[int, DataFrame]]:
@@ -86,7 +82,7 @@ def control_pairs(data: DataFrame, n_seeds: int = CONTROL_SEEDS, cap: int = EPIT
 
 def control_scores(data: DataFrame, n_seeds: int = CONTROL_SEEDS, arms: Sequence[str] = ARMS) -> DataFrame:
     """Test scores for seen epitopes: one fit per seed and arm."""
-    return sequential_fits(examples(control_pairs(data, n_seeds), arms), ["seed", "arm"])
+    return sequential_fits(examples(control_pairs(data, n_seeds), arms), ["seed", "arm"], SIDES)
 
 
 def unseen_pairs(
@@ -125,7 +121,7 @@ def unseen_scores(
     scored = examples(unseen_pairs(data, n_seeds, n_folds), arms).withColumn(
         "example", F.concat_ws("|", "epitope", "example")
     )
-    return sequential_fits(scored, ["seed", "fold", "arm"]).withColumn(
+    return sequential_fits(scored, ["seed", "fold", "arm"], SIDES).withColumn(
         "epitope", F.split_part("example", F.lit("|"), F.lit(1))
     )
 

@@ -1,11 +1,18 @@
 """The registered queries against an independent engine, and the composed analyses end to end."""
 
+import hashlib
+import math
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from junctura.operators import models, negatives
+from junctura.fixed import EPOCHS, L2, LEARNING_RATE, SEED
+from junctura.functions.crossing import SIDES, codes
+from junctura.functions.features import buckets, cross_tokens
+from junctura.operators import logistic, models, negatives
 from junctura.plans import benchmark, unseen
 from junctura.session import stage
 from junctura.sources import tables
@@ -60,13 +67,76 @@ def test_sequential_fit_learns_and_refuses_large_groups(spark):
     assert models.sequential_fits(df, ["arm"], max_rows=80).count() == 40
 
 
+def test_sequential_fit_token_by_token(spark):
+    """The weights again, by visiting every token of every example in turn in plain Python."""
+    rng = random.Random(4)
+    tokens = {"r": ["V=a", "J=b", "N3=AAA", "N2=CC"], "e": ["E=x", "EL=1", "EP0=x"]}
+    data = []
+    for i in range(60):
+        left = [rng.choice(tokens["r"]) for _ in range(rng.randrange(0, 5))]
+        right = tokens["e"][: rng.randrange(0, 4)]
+        # Some rows share a key.
+        data.append((i % 2, f"e{i // 2 if i > 50 else i}", left, right, int(rng.random() < 0.5), i % 3 > 0))
+    df = spark.createDataFrame(data, "arm int, example string, l array<string>, r array<string>, label int, in_train boolean")
+    rows = df.select("arm", "example", "label", "in_train", codes("l").alias("left"), codes("r").alias("right"))
+    found = {r.example: r.score for r in models.sequential_fits(rows, ["arm"], SIDES, slice_rows=3).collect()}
+    crossed = df.withColumn("idx", buckets(cross_tokens("l", "r")))
+    same = {r.example: r.score for r in models.sequential_fits(crossed, ["arm"]).collect()}
+    for arm in (0, 1):
+        own = [r for r in crossed.filter(F.col("arm") == arm).collect()]
+        fit = sorted((r for r in own if r.in_train), key=lambda r: (r.example, r.label))
+        if len({r.example for r in fit}) < len(fit):
+            continue
+        weights, bias = {}, 0.0
+        for epoch in range(EPOCHS):
+            for r in sorted(fit, key=lambda r: hashlib.md5(f"{SEED}:{epoch}:{r.example}".encode()).hexdigest()):
+                z = bias + sum(weights.get(b, 0.0) for b in r.idx)
+                step = LEARNING_RATE * (1 / (1 + math.exp(-z)) - r.label)
+                bias -= step
+                for b in r.idx:
+                    weights[b] = weights.get(b, 0.0) * (1 - L2) - step
+        for r in own:
+            if not r.in_train:
+                expected = bias + sum(weights.get(b, 0.0) for b in r.idx)
+                assert found[r.example] == pytest.approx(expected, abs=1e-9)
+                assert same[r.example] == pytest.approx(expected, abs=1e-9)
+
+
+def test_models_side_by_side(spark):
+    """Fits of several models in the same passes, over both forms of tokens, and a gradient of nothing."""
+    rng = random.Random(6)
+    tokens = [f"t{i}" for i in range(6)]
+    data = [
+        (i % 3, rng.sample(tokens, rng.randrange(0, 4)), ["E=" + rng.choice("xy")], int(rng.random() < 0.4))
+        for i in range(240)
+    ]
+    df = spark.createDataFrame(data, "run int, l array<string>, r array<string>, label int")
+    sided = df.select("run", "label", codes("l").alias("left"), codes("r").alias("right"))
+    names, weights, facts = logistic.fit_weights(sided, SIDES, by=["run"], tolerance=1e-8)
+    crossed = df.withColumn("tokens", cross_tokens("l", "r"))
+    for i, (run,) in enumerate(names):
+        alone = crossed.filter(F.col("run") == run)
+        _, single, _ = logistic.fit_weights(alone, tolerance=1e-8)
+        assert abs(single[0] - weights[i]).max() < 1e-5
+        n, first, last = facts[i]
+        gradient = weights[i].copy()
+        for r in alone.withColumn("idx", buckets("tokens")).collect():
+            places = [*r.idx, len(gradient) - 1]
+            error = 1 / (1 + math.exp(-sum(weights[i][p] for p in places))) - r.label
+            for p in places:
+                gradient[p] += error
+        assert n == 80 and last <= 1e-8 * first and (gradient**2).sum() ** 0.5 <= 1e-7 * first
+    scored = logistic.margins(sided.withColumn("run", F.when(F.col("run") < 2, F.col("run")).otherwise(9)), names, weights, SIDES, ["run"])
+    assert scored.filter("run = 9 AND score IS NULL").count() == 80 and scored.filter("run < 2 AND score IS NULL").count() == 0
+
+
 def test_logistic_margin_matches_direct_minimisation(spark):
     import numpy as np
 
     rng = np.random.default_rng(0)
     data = [([t for t in "abc" if rng.random() < 0.5], int(rng.random() < 0.5)) for _ in range(60)]
     df = spark.createDataFrame(data, "tokens array<string>, label int")
-    got = models.fit_logistic(df, df.withColumn("Label", F.col("label")), max_iter=200)
+    got = logistic.fit_logistic(df, df.withColumn("Label", F.col("label")), max_iter=200, tolerance=1e-7)
     got = {tuple(r["tokens"]): r["score"] for r in got.collect()}
     x = np.array([[t in ts for t in "abc"] + [True] for ts, _ in data], float)
     y, w = np.array([label for _, label in data]), np.zeros(4)
