@@ -137,9 +137,10 @@ def fit(
 ) -> Model:
     """Fit on at most ``sample`` labelled texts per language, those with the smallest seeded digest.
 
-    The texts are chosen by key, language and digest alone: a digest threshold from the language's
-    count lets about twice ``sample`` rows through, whatever its size, and those are ranked. Then
-    whole texts are read for the chosen keys. Document frequencies are counted by
+    The texts are chosen by key, language and the digest of the text: a threshold from the language's
+    count lets about twice ``sample`` of them through, whatever its size, and those are ranked. Rows equal
+    in all three count once, so neither null nor repeated keys crowd the sample. Then whole texts are
+    read for what was chosen. Document frequencies are counted by
     Spark, and each language is clustered in a task of its own over its bounded sample. The model is
     ``centroids`` x ``BUCKETS`` numbers per language. Rows without language are left out, and so are
     texts without a letter; without rows the model is empty and predicts ``und``.
@@ -147,21 +148,23 @@ def fit(
     rows = labelled.filter(F.col(f"`{lang}`").isNotNull()).select(
         F.col(f"`{key}`").alias("key"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("body")
     )
-    counts = stage(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
-    digest = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "key"), 11)
-    place = F.row_number().over(W.partitionBy("lang").orderBy("digest", "key"))
+    # A struct compares nulls as equal.
+    name = F.struct("key", "lang", F.xxhash64("body").alias("text"))
+    names = stage(rows.select(name.alias("name")).distinct(), "names").withColumn("lang", F.col("name.lang"))
+    counts = stage(names.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
+    digest = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "name.key", "name.text"), 11)
+    place = F.row_number().over(W.partitionBy("lang").orderBy("digest", "name"))
     chosen = stage(
-        rows.select("key", "lang")
-        .withColumn("digest", digest)
+        names.withColumn("digest", digest)
         .join(counts, "lang")
         .filter(F.col("digest") / float(1 << 53) <= 2.0 * sample / F.col("rows"))
         .withColumn("place", place)
         .filter(F.col("place") <= sample)
-        .select("key", "lang"),
+        .select("name"),
         "chosen",
     )
-    names = chosen.select(F.col("key").alias("k"), F.col("lang").alias("l")).distinct()
-    texts = rows.join(names, rows.key.eqNullSafe(names.k) & (rows.lang == names.l), "left_semi")
+    texts = rows.withColumn("own", name).join(chosen, F.col("own") == chosen.name, "left_semi")
+    texts = texts.groupBy("own").agg(F.first("lang").alias("lang"), F.first("body").alias("body"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -211,10 +211,12 @@ def mixed_documents(
 ) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their columns as they are.
 
-    Rows that share a key share the largest of their numbers of copies.
+    Rows are told apart by a number of their own, so rows with null or equal keys are taken each for
+    itself and a source gets as many words as ``mix`` gives it. Null and empty texts are never taken; an
+    empty table gives no rows. Of equally long documents the number decides, not the key.
     """
-    chosen = mix(docs, key, text, source).groupBy(F.col(key).alias("key")).agg(F.max("copies").alias("copies"))
-    chosen = chosen.filter("copies > 0")
-    rows = packed(docs, key=F.col(f"`{key}`"))
-    taken = rows.join(chosen, rows.key.eqNullSafe(chosen.key)).select("doc", "copies")
+    rows = stage(packed(docs, id=F.monotonically_increasing_id()), "rows")
+    own = rows.select("id", F.col(f"doc.`{text}`").alias("text"), F.col(f"doc.`{source}`").alias("source"))
+    chosen = mix(own, "id", "text", "source").filter("copies > 0").select("id", "copies")
+    taken = rows.join(chosen, "id").select("doc", "copies")
     return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

@@ -99,6 +99,18 @@ def test_one_row_per_row(spark, name):
     assert Counter(r[0] for r in got) == Counter(r[0] for r in rows)
 
 
+def test_mix_and_fit_with_rows_that_share_a_key(spark):
+    """Null and equal keys: a source gets its words, and a language its sample."""
+    rows = [(None if i % 3 else 7, f"w{i} " * (1 + i % 9), "en", "ab"[i % 2], 0) for i in range(600)]
+    docs = frame(spark, rows)
+    wanted = {r.source: r.words for r in mix(docs).groupBy("source").agg(F.sum("taken").alias("words")).collect()}
+    counted = F.size(F.split(F.trim("text"), " +"))
+    got = mixed_documents(docs).groupBy("source").agg(F.sum(counted).alias("words")).collect()
+    assert {r.source: r.words for r in got} == wanted
+    model = fit(docs.unionByName(docs), sample=50)
+    assert set(model.langs) == {"en"}
+
+
 # Exact copies
 
 
