@@ -18,8 +18,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         sided = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         sided = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    # Written, so that both sides of the join are plain shuffles, of which Spark can split a hub.
     lows = sided.groupBy("a").agg(F.min("b").alias("low"))
-    lows = lows.select("a", F.least("a", "low").alias("low"))
+    lows = stage(lows.select("a", F.least("a", "low").alias("low")), "lows")
     moved = sided.filter("b > a") if large else sided
     moved = moved.join(lows, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     if not large:

@@ -7,9 +7,11 @@ from collections import Counter
 from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
-from junctura.llm.similar import drop_similar
+from junctura.llm import similar
+from junctura.llm.similar import centre_of, drop_similar
 from junctura.llm.simhash import drop_near_copies, fingerprint
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -70,6 +72,59 @@ def test_stage_drops_planted_near_copies(spark):
     assert sorted(got) == sorted(want)
 
 
+def edited(rng, base, low, high, mark):
+    """``base`` with a number of words from ``low`` to ``high`` changed."""
+    text = list(base)
+    for at in rng.sample(range(len(text)), rng.randint(low, high)):
+        text[at] = f"{mark}{rng.randrange(10**6)}"
+    return " ".join(text)
+
+
+@pytest.mark.parametrize("pairwise", [1, similar.PAIRWISE, 10**6])
+def test_groups_about_the_limit_match_brute_force(spark, monkeypatch, pairwise):
+    """Members of these groups are similar to some of their group only; two groups share a passage."""
+    rng = random.Random(4)
+    passage = rng.choices([f"p{i}" for i in range(400)], k=60)
+    one = rng.choices([f"g{i}" for i in range(500)], k=150)
+    two = passage + rng.choices([f"g{i}" for i in range(500)], k=60)
+    three = passage + rng.choices([f"g{i}" for i in range(500)], k=40)
+    texts = [edited(rng, base, 1, high, "e") for base, high in [(one, 8), (two, 6), (three, 5)] for _ in range(90)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    want = plain_kept(rows)
+    assert 10 < len(want) < 200
+    monkeypatch.setattr(similar.similar_links, "__defaults__", (similar.SHINGLE, pairwise))
+    assert sorted(r.doc_id for r in drop_similar(frame(spark, rows).repartition(4)).collect()) == sorted(want)
+
+
+def test_a_hot_group_below_the_limit_gives_few_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    base = rng.choices([f"b{i}" for i in range(900)], k=300)
+    rows = [(i, edited(rng, base, 9, 11, "e")) for i in range(400)]
+    # A copy of the last one with one more word changed is the only pair to find.
+    rows.append((len(rows), rows[-1][1].rsplit(" ", 1)[0] + " last"))
+    made = {}
+    stage = similar.stage
+
+    def kept(df, name="stage"):
+        out = stage(df, name)
+        made.setdefault(name, []).append(out)
+        return out
+
+    monkeypatch.setattr(similar, "stage", kept)
+    got = sorted(r.doc_id for r in drop_similar(frame(spark, rows)).collect())
+    assert got == sorted(plain_kept(rows)) == list(range(400))
+    compared = [x.count() for x in made["pairs"]]
+    buckets = made["members"][0].groupBy("bucket").count().agg({"count": "max"}).first()[0]
+    assert buckets > 50 and compared[1] < 400, (buckets, compared)
+
+
+def test_centre_is_what_most_have():
+    sets = [np.array(x, np.uint64) for x in ([1, 2, 3], [1, 2, 5], [1, 7, 8], [2, 9])]
+    assert centre_of(sets).tolist() == [1, 2]
+    assert centre_of(sets[:1]).tolist() == [1, 2, 3]
+
+
 def test_short_and_empty_texts(spark):
     rows = [(1, "a b"), (2, "A  b"), (3, "a c"), (4, None), (5, " "), (6, "a b c d e f")]
     assert sorted(r.doc_id for r in drop_similar(frame(spark, rows)).collect()) == [1, 3, 4, 6]
