@@ -62,12 +62,20 @@ HINTS = frozenset(
 NEGATIONS = frozenset("has with no without is js".split())
 CONTAINERS = frozenset("div section ul ol dl table header".split())
 
+# An attribute by the standard's states: a name, and after an equals sign a value that ends at its own quote,
+# or unquoted at white space or the tag's end, whatever quotes it holds.
+_SPACE = r"[\t\n\f\r ]"
+_NAME = r"=[^\t\n\f\r />=]*+|[^\t\n\f\r />=]++"
+_VALUE = r"""\"[^"]*+"|'[^']*+'|(?!["'])[^\t\n\f\r >]*+"""
+_EQUALS = rf"{_SPACE}*+={_SPACE}*+"
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)"""
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>""",
+    rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)"""
+    rf"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)"""
+    rf"""(?P<attrs>(?:[\s/]++|(?:{_NAME})(?:{_EQUALS}(?:{_VALUE})|(?!{_SPACE}*+=)))*+)>""",
     re.DOTALL,
 )
-_NAMED = re.compile(r"""(?<![\w-])(class|id|role|hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:{_EQUALS}({_VALUE}))?+")
+_TOLD = frozenset("class id role hidden itemprop".split())
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -96,11 +104,13 @@ def _attributes(raw: str) -> str:
     """Class, id, role and the like as one lower-case string."""
     if "=" not in raw and "hidden" not in raw.lower():
         return ""
-    found = []
-    for name, value in _NAMED.findall(raw):
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(raw):
         name = name.lower()
-        found.append("=hidden" if name == "hidden" else f"{name}={value.strip(chr(34) + chr(39)).lower()}")
-    return " ".join(found)
+        if name in _TOLD and name not in found:
+            plain = value[1:-1] if value[:1] in ('"', "'") else value
+            found[name] = "=hidden" if name == "hidden" else f"{name}={plain.lower()}"
+    return " ".join(found.values())
 
 
 def parse(source: str) -> Page:

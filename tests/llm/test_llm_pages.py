@@ -144,6 +144,11 @@ ARTICLE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><scrip
         ("<div class='ad'>buy</div><main><p>m</main><footer>f", "m"),
         ("<p hidden>h</p><div role=navigation>n</div><p>p</p><p>q r s t", "p q r s t"),
         ("<div>" * 3000 + "deep", "deep"),
+        ("<article><p>one</p><p data-x=it's>two words</p><p>three</p></article>", "one two words three"),
+        ("<article><p>one<p data-x=it's>two<p>it's four</article>", "one two it's four"),
+        ("<p a = 'x>y' b=\"it's\"c=d=\"e/ =f>in <br/>out", "in out"),
+        ("<p title='class=ad'>kept <p data-class=ad>too <p class = ad>gone <p CLASS=it's id=ad>gone <p>end it on <p>words", "kept too end it on words"),
+        ("before <p title='open>after", "before"),
     ],
 )
 def test_main_text(source, text):
