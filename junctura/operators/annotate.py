@@ -19,38 +19,17 @@ def _full_j(anchors: DataFrame) -> DataFrame:
     )
 
 
-def _pieces_of(text: Column, lengths: Column) -> Column:
-    """Distinct substrings of the given lengths."""
-
-    def of_length(n: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.length(text) - n + 1)
-        found = F.transform(starts, lambda i: F.substring(text, i, n))
-        return F.when(F.length(text) >= n, found).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
-
-
 def contains_full_j(rows: DataFrame, anchors: DataFrame, text: Column, flag: str) -> DataFrame:
     """Flag rows whose ``text`` contains any J anchor of at least four residues.
 
-    Each distinct text lists its substrings of the lengths that anchors have, and those that are
-    anchors are found by an equi-join, whatever the number of anchors.
+    There is at most one anchor a gene, so they come as one array of a subquery and nothing is shuffled.
     """
-    full = _full_j(anchors)
-    lengths = full.agg(F.array_sort(F.collect_set(F.length("anchor")))).scalar()
-    texts = rows.select(text.alias("_text")).distinct().withColumn("_lengths", lengths)
-    pieces = _pieces_of(F.col("_text"), F.col("_lengths"))
-    hits = (
-        texts.select("_text", F.explode(pieces).alias("anchor"))
-        .join(full, "anchor", "left_semi")
-        .select("_text", F.lit(True).alias("_hit"))
-        .distinct()
-    )
+    known = _full_j(anchors).agg(F.array_sort(F.collect_set("anchor"))).scalar()
+    found = F.exists(F.col("_known"), lambda anchor: F.contains(F.col("_text"), anchor))
     return (
-        rows.withColumn("_text", text)
-        .join(hits, "_text", "left")
-        .withColumn(flag, F.coalesce("_hit", F.lit(False)))
-        .drop("_text", "_hit")
+        rows.withColumns({"_text": text, "_known": known})
+        .withColumn(flag, F.coalesce(found, F.lit(False)))
+        .drop("_text", "_known")
     )
 
 
