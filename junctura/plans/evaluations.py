@@ -13,10 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from junctura.fixed import FRACTIONS, SCHEMES
+from junctura.fixed import FRACTIONS, SCHEMES, SEED, SEEDS
 from junctura.operators import metrics, ngrams, reports, resampling
 from junctura.operators.cleaning import CLONOTYPE, clean_records
 from junctura.plans import benchmark as paired
+from junctura.plans import unseen
 from junctura.plans.dataset import build_dataset
 from junctura.session import shared_dir, stage
 from junctura.sources import records, sinks, tables
@@ -107,6 +108,35 @@ def scheme_verdict(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(verdict, "full_size_delta", "reduced_size_delta")
 
 
+def _seed_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    """Gap of two arms by seed and epitope, from scores that a fit of each seed would have saved."""
+    seeds = F.explode(
+        F.array(*[F.struct(F.lit(SEED + 1000 * i).alias("seed"), F.lit(i).alias("i")) for i in range(SEEDS)])
+    )
+    rows = tables.challenge(spark, sf).withColumn("s", seeds).withColumn("a", _arms(ARMS[:2], F.col("s.i") * 2))
+    scored = rows.select(
+        "s.seed",
+        "a.arm",
+        F.col("Peptide").alias("epitope"),
+        F.col("Label").alias("label"),
+        _score(F.col("a.k")).cast("double").alias("score"),
+    )
+    return stage(unseen.epitope_deltas(scored))
+
+
+@query
+def epitope_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    """Difference of the two arms' AUC for every seed and epitope with enough of both classes."""
+    return _rounded(_seed_deltas(spark, sf), "delta")
+
+
+@query
+def unseen_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    """Seeds in favour, the pooled interval of the differences, and the statement that follows."""
+    verdict = unseen.unseen_verdict(_seed_deltas(spark, sf), control_ok=True)
+    return _rounded(verdict, "mean", "sd", "lo", "hi")
+
+
 def _curve(spark: SparkSession, sf: str) -> DataFrame:
     """Means by share of the test pairs, arms side by side, with their gaps."""
     place = F.pmod(F.length("CDR3a") * 7 + F.ascii(F.substring("CDR3b", 3, 1)) * 13, F.lit(100)) / 100.0

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from junctura.fixed import FRACTIONS, SCHEMES, SEED
+from junctura.fixed import EPITOPE_CLASS_FLOOR, FRACTIONS, MEAN_PLACES, MEAN_RESAMPLES, SCHEMES, SEED, SEEDS
 from junctura.plans.evaluations import ARMS, SERIES, TARGETS
-from junctura.plans.oracle import ORACLE_SQL, add, order, partial, pick
+from junctura.plans.oracle import ORACLE_SQL, add, area, order, partial, pick
 from junctura.plans.oracle_base import CLEAN, PAIRED, PARSED
 
 __all__ = ["ORACLE_SQL"]
@@ -57,6 +57,39 @@ add(
     FROM d JOIN e USING (subset) GROUP BY subset HAVING count(*) >= 3""",
     SCORED,
 )
+_seeds = ", ".join(f"({SEED + 1000 * i}, {i})" for i in range(SEEDS))
+_pair = ", ".join(f"('{a}', {k + 1})" for k, a in enumerate(ARMS[:2]))
+DELTAS = f"""{PAIRED}, scored AS (
+  SELECT seed, arm, "Peptide" epitope, "Label" label, {_score('(k + i * 2)')} score
+  FROM test, (VALUES {_seeds}) s(seed, i), (VALUES {_pair}) a(arm, k)
+), areas AS (
+  SELECT * FROM {area('scored', 'seed, epitope, arm', 'score', 'label')}
+  WHERE n_pos >= {EPITOPE_CLASS_FLOOR} AND n_neg >= {EPITOPE_CLASS_FLOOR}
+), d AS (
+  SELECT seed, epitope, a.auc - b.auc delta FROM areas a JOIN areas b USING (seed, epitope)
+  WHERE a.arm = 'morpheme' AND b.arm = 'kmer3'
+)"""
+add("epitope_deltas", "SELECT seed, epitope, round(delta, 6) delta FROM d", DELTAS)
+add(
+    "unseen_verdict",
+    f""", items AS (
+      SELECT delta, row_number() OVER (ORDER BY {order('item', 'seed', 'epitope')}) item, count(*) OVER () size FROM d
+    ), m AS (
+      SELECT resample, avg(i.delta) m FROM (
+        SELECT resample, {pick('size', SEED, "'draw'", 'resample', 'item')} + 1 item
+        FROM items, range({MEAN_RESAMPLES}) b(resample)
+      ) JOIN items i USING (item) GROUP BY resample
+    ), e AS (
+      SELECT list_sort(list(m))[{MEAN_PLACES[0] + 1}] lo, list_sort(list(m))[{MEAN_PLACES[1] + 1}] hi FROM m
+    ), seeds AS (SELECT seed, avg(delta) g FROM d GROUP BY seed), w AS (
+      SELECT avg(g) mean, stddev_pop(g) sd, count(*) FILTER (g > 0) in_favour, count(*) n_seeds FROM seeds
+    )
+    SELECT round(mean, 6) mean, round(sd, 6) sd, in_favour, n_seeds, round(lo, 6) lo, round(hi, 6) hi,
+      CASE WHEN in_favour = n_seeds AND lo > 0 THEN 'better in every seed' WHEN lo > 0 THEN 'suggestive only'
+        ELSE 'no reliable advantage' END verdict
+    FROM w, e""",
+    DELTAS,
+)
 _schemes = ", ".join(f"('{s}', {i})" for i, s in enumerate(SCHEMES))
 SCHEMED = f"""{PAIRED}, scored AS (
   SELECT scheme, arm, "Peptide", "Label", {_score('k + i * 3', 'i + 19')} score
