@@ -405,6 +405,65 @@ def test_equal_positives_each_get_negatives(spark):
         assert sum(r["label"] for r in made) == 34
 
 
+def shared_loops(spark):
+    """Receptors of which many CDR3b are recorded with several peptides."""
+    columns = ["Peptide", "HLA", "Va", "Ja", "CDR1a", "CDR2a", "CDR3a", "Vb", "Jb", "CDR1b", "CDR2b", "CDR3b"]
+    peptides = ["AAAAAAAA", "AAAAAAAC", "CCCCCCCC", "DDDDDDDD", "DDDDDDDE"]
+    rows = [
+        (p, "H", "v", "j", "a", "b", f"c{i}", "v", "j", "a", "b", f"AS{i % (7 + 3 * k)}" if i % 9 else None)
+        for k, p in enumerate(peptides)
+        for i in range(40)
+    ]
+    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
+
+
+@pytest.mark.parametrize("listed", [64, 2, 0])
+def test_excluded_draws_are_the_first_that_pass(spark, monkeypatch, listed):
+    train = shared_loops(spark)
+    monkeypatch.setattr(negatives, "LISTED", listed)
+    known = {(r["CDR3b"], r["Peptide"]) for r in train.collect()}
+    got = negatives.swap_negatives(train, "random", per_positive=3, exclude_binders=True).filter("label = 0")
+    # The same nine draws without exclusion, cut here row by row.
+    every = negatives.swap_negatives(train, "random", per_positive=9).filter("label = 0").collect()
+    want = {}
+    for r in sorted(every, key=lambda r: (r["grp"], r["draw"])):
+        mine = want.setdefault(r["grp"], [])
+        if len(mine) < 3 and (r["CDR3b"] is None or (r["CDR3b"], r["Peptide"]) not in known):
+            mine.append((r["draw"], r["Peptide"], r["CDR3a"], r["CDR3b"]))
+    have = {}
+    for r in got.orderBy("grp", "draw").collect():
+        have.setdefault(r["grp"], []).append((r["draw"], r["Peptide"], r["CDR3a"], r["CDR3b"]))
+    assert have == {g: rows for g, rows in want.items() if rows}
+    assert max(draw for rows in have.values() for draw, *_ in rows) > 6
+
+
+def test_only_missing_draws_are_made_again(spark, monkeypatch):
+    train, rows = shared_loops(spark), []
+
+    def counted(df):
+        out = real(df)
+        rows.append(out.count() if "known" in out.columns else 0)
+        return out
+
+    real = negatives.stage
+    monkeypatch.setattr(negatives, "stage", counted)
+    negatives.swap_negatives(train, "random", exclude_binders=True)
+    first, second, third = [n for n in rows if n]
+    assert first == 5 * 200 and second < first and first + second + third < 15 * 200
+
+
+def test_validation_split_shuffles_no_pairs(spark):
+    pairs = spark.range(3000).select(F.expr("md5(cast(id % 500 as string))").alias("grp"), "id")
+    split = splits.validation_split(pairs, "grp")
+    assert "Join" not in split._jdf.queryExecution().executedPlan().toString()
+    sides = values(split.groupBy("grp").agg(F.count_distinct("in_validation").alias("n"), F.max("in_validation").alias("v")), "n", "v")
+    assert [n for n, _ in sides] == [1] * 500 and sum(v for _, v in sides) == 100
+    ranked = ranking.hash_rank(pairs.select("grp").distinct(), [], ["grp"], splits.SEED, "validation")
+    held = {r["grp"] for r in split.filter("in_validation").collect()}
+    assert held == {r["grp"] for r in ranked.filter("rank <= 100").collect()}
+    assert splits.validation_split(pairs.limit(0), "grp").count() == 0
+
+
 def test_splits(spark):
     rows = [(f"C{i}", "V", "J", "big" if i < 90 else "small", [f"s{i % 10}"]) for i in range(100)]
     df = spark.createDataFrame(rows, "cdr3 string, v string, j string, epitope string, studies array<string>")
