@@ -417,6 +417,29 @@ def shared_loops(spark):
     return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
 
 
+def test_segments_are_never_broadcast(spark):
+    values_ = spark.createDataFrame([(0, "CASSAAAYEQYF"), (0, "CASSAAYEQYF")], "g int, x string")
+    close = neighbours._close(values_, values_.withColumnRenamed("x", "y"), 2)
+    assert "Broadcast" not in close._jdf.queryExecution().executedPlan().toString()
+    found = neighbours.nearest_binder(
+        values_.withColumnRenamed("g", "p"), values_.limit(1).withColumnRenamed("g", "p"), "p", "x"
+    )
+    assert sorted(r["sim"] for r in found.collect()) == [pytest.approx(11 / 12), 1.0]
+
+
+def test_counted_records_are_parsed_once_and_count_for_all(spark):
+    rows = [("CASSAAYEQYF", "TRBV19*01", "TRBJ2-7", "E", "HomoSapiens")] * 3
+    rows += [("CASSGGGYEQYF", "TRBV19", "TRBJ2-7", "E", "HomoSapiens"), ("CASSAYEQYF", "TRBV19", "", "E", "HomoSapiens")] * 2
+    rows += [("CASSAAYEQYF", "TRBV19", "TRBJ2-7", "F", "MusMusculus"), ("CASSWWYEQYF", "none", "TRBJ2-7", "F", "HomoSapiens")]
+    raw = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in handmade.FIELDS))
+    counted = handmade.hand_parsed(cleaning.annotated_records(handmade.counted_records(raw)))
+    plain = handmade.hand_parsed(cleaning.annotated_records(raw))
+    assert (counted.count(), plain.count()) == (3, 6)
+    for table in (handmade.summary, handmade.top_regions, handmade.region_bigrams, handmade.top_bigrams, handmade.region_lengths):
+        assert sorted(table(counted).collect()) == sorted(table(plain).collect())
+        assert table(counted).dtypes == table(plain).dtypes
+
+
 @pytest.mark.parametrize("listed", [64, 2, 0])
 def test_excluded_draws_are_the_first_that_pass(spark, monkeypatch, listed):
     train = shared_loops(spark)
