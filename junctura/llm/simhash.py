@@ -43,14 +43,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     starts = np.concatenate(([0], gaps + 1))
     ends = np.concatenate((gaps, [len(line)]))
     width = min(shingle, len(words))
-    pairs = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
+    count = len(words) - width + 1
+    del words
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in pairs), np.uint64, len(words) - width + 1)
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), CHUNK):
-        part = hashes[at : at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(hashes), bitorder="little")
+    for at in range(0, count, CHUNK):
+        # Places as Python numbers and hashes of one chunk at a time.
+        some = slice(at, min(at + CHUNK, count))
+        pairs = zip(starts[some].tolist(), ends[width - 1 :][some].tolist(), strict=True)
+        part = np.fromiter((digest(line[a:b], SEED) for a, b in pairs), np.uint64, some.stop - at)
+        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(
+            axis=0, dtype=np.int64
+        )
+    bits = np.packbits(2 * ones > count, bitorder="little")
     return int(bits.view("<i8")[0])
 
 
