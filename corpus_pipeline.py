@@ -24,8 +24,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a five-word similarity of 0.8 or more the one with the smallest doc_id."""
-    return drop_similar(docs)
+    """Of documents linked by near fingerprints, or by a five-word similarity of 0.8 or more, the smallest doc_id."""
+    return drop_similar(docs, fingerprints=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from junctura.llm.components import components
 from junctura.llm.shared import packed, stage
+from junctura.llm.simhash import near_groups
 
 SHINGLE = 5
 # The least similarity, as a fraction, so that the comparison is exact.
@@ -236,17 +237,24 @@ def similar_links(rows: DataFrame, shingle: int = SHINGLE, pairwise: int = PAIRW
     return links.unionByName(more).unionByName(_confirmed(others, sets))
 
 
-def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def drop_similar(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, fingerprints: bool = False
+) -> DataFrame:
     """One row of each component of similar texts, with its columns as they are.
 
     Texts are linked if the Jaccard similarity of their shingles is at least ``LEAST``. Of linked
     rows the one with the smallest key stays; a null key stays only where there is no other, and of
     rows that repeat the key one stays. Rows are told apart by a number of their own, so nulls and
-    repeated keys drop nothing else. Texts without words are alike.
+    repeated keys drop nothing else. Texts without words are alike. With ``fingerprints`` the groups of
+    near fingerprints (see :func:`near_groups`) are linked as well; links of both kinds reach through each other.
     """
     rows = stage(packed(docs, id=F.monotonically_increasing_id()), "rows")
     own = rows.select("id", F.col(f"doc.`{text}`").cast("string").alias("body"))
-    roots = stage(components(similar_links(own, shingle)), "roots")
+    links = similar_links(own, shingle)
+    if fingerprints:
+        groups = near_groups(own, "id", "body").filter("component_id <> id")
+        links = links.unionByName(groups.select(F.col("component_id").alias("a"), F.col("id").alias("b")))
+    roots = stage(components(links), "roots")
     named = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     keys = rows.select("id", F.col(f"doc.`{key}`").alias("key"), F.xxhash64(f"doc.`{text}`").alias("digest"))
     keys = stage(keys.join(named, keys.id == named.node), "keys")

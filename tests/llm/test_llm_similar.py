@@ -12,7 +12,7 @@ import pytest
 
 from junctura.llm import similar
 from junctura.llm.similar import centre_of, drop_similar
-from junctura.llm.simhash import drop_near_copies, fingerprint
+from junctura.llm.simhash import drop_near_copies, fingerprint, near_groups
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -148,3 +148,29 @@ def test_stop_words_are_asked_of_known_languages_only(spark):
     rows = [(i, text if i < 4 else "krótki", lang, "s", 0) for i, lang in enumerate(langs)]
     got = corpus_pipeline.quality_rules(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert [r.doc_id for r in got] == [3]
+
+
+def test_fingerprint_links_reach_through_similar_texts(spark):
+    """A text of near fingerprint counts as a near copy although it shares too few five-word runs."""
+    words = [f"w{i}" for i in range(4000)]
+    base, far = " ".join(words[:400]), " ".join([*words[:399], "x"])
+    texts = [base, far, " ".join(words[1000:1400])]
+    # A repeated run weighs most in a fingerprint and little in a set of runs.
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(10, "a b c " * 60 + " ".join(words[2000:2008])), (11, "a b c " * 60 + " ".join(words[2100:2108]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = {r["doc_id"]: r["component_id"] for r in near_groups(docs).collect()}
+    assert near[11] == 10
+    assert {r["doc_id"] for r in drop_similar(docs).collect()} == {0, 2, 10, 11}
+    assert {r["doc_id"] for r in drop_similar(docs, fingerprints=True).collect()} == {0, 2, 10}
+
+
+def test_a_long_text_is_hashed_in_pieces():
+    import tracemalloc
+
+    text = "word " * 400_000
+    tracemalloc.start()
+    got = fingerprint(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == fingerprint("word word word") and peak < 56_000_000
