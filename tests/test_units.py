@@ -541,3 +541,42 @@ def test_scheme_verdict(spark):
     df = spark.createDataFrame(rows, "scheme string, arm string, all double, seen double, unseen double")
     got = reports.scheme_verdict(df).first()
     assert (got["beats_kmers"], got["beats_segments"], got["unseen_near_chance"], got["similarity_matters"]) == (True, False, True, False)
+
+
+def test_nearest_loops_asks_only_contexts_that_can_win(spark, monkeypatch):
+    rng = random.Random(23)
+    short, letters = ["ACDEF", "GHIKL", "MNPQR", "STVWY"], "ACDEFGHIKLMNPQRSTVWY"
+
+    def some(n):
+        return [
+            ("p", rng.choice(short), rng.choice(short), rng.choice(["CAS", "CAT", ""]), "".join(rng.choices(letters, k=8)))
+            for _ in range(n)
+        ]
+
+    refs = some(300)
+    # Each query is one edit from a binder of its own context.
+    queries = sorted({(g, a, b, c, d[:-1] + "B") for g, a, b, c, d in refs[:40]} | {("p", "ACDEF", "X", "", "")})
+    names, schema = ["a", "b", "t", "u"], "g string, a string, b string, t string, u string"
+    weights = [1, 1, 3, 3]
+    asked = []
+
+    def counted(found, pairs, short):
+        rows = opened(found, pairs, short)
+        asked.append((rows.count(), found.join(pairs, ["g", *short]).count()))
+        return rows
+
+    opened = neighbours._open_contexts
+    monkeypatch.setattr(neighbours, "_open_contexts", counted)
+    got = neighbours.nearest_loops(
+        spark.createDataFrame(queries, schema), spark.createDataFrame(refs, schema), "g", names, weights
+    ).collect()
+
+    def sim(a, b):
+        return 0.0 if not a or not b else 1 - edit_distance(a, b) / max(len(a), len(b))
+
+    assert len(got) == len(queries)
+    for row in got:
+        every = (sum(w * sim(row[n], x[i + 1]) for i, (n, w) in enumerate(zip(names, weights))) / 8 for x in refs)
+        assert row["sim"] == pytest.approx(max(every))
+    ((met, all_of_them),) = asked
+    assert met * 4 < all_of_them
