@@ -172,3 +172,28 @@ def test_pools_agree_with_schemes(spark):
     made = negatives.swap_negatives(train, "hard", exclude_binders=True, index=index).filter("label = 0")
     lonely = negatives.pool_sizes(index).filter("n_near = 0").select("Peptide")
     assert made.join(lonely, "Peptide", "left_semi").count() == 0
+
+
+def test_equal_examples_are_fitted_once_with_their_number(spark):
+    rng = random.Random(31)
+    loops = {c: ["AC", "ACD"] for c in benchmark.LOOPS} | {"CDR3b": ["CASSF", "CASTF", "CAWF", None]}
+    data = [
+        (rng.choice(["TRBV1*01", "TRBV1", "TRBV2"]), "TRBJ1", rng.choice(["PEPT", "PEPS"]), "A2", int(rng.random() < 0.4),
+         *[rng.choice(loops[c]) for c in benchmark.LOOPS])
+        for _ in range(300)
+    ]
+    columns = ", ".join(f"{c} string" for c in benchmark.LOOPS)
+    pairs = spark.createDataFrame(data, f"Vb string, Jb string, Peptide string, HLA string, label int, {columns}")
+    anchors = spark.createDataFrame([("V", "TRBV1", "CASS"), ("J", "TRBJ1", "F")], "side string, gene string, anchor string")
+    counted = benchmark.counted_examples(pairs)
+    sums = {r.arm: (r.n, r.times, r.label) for r in counted.groupBy("arm").agg(
+        F.count("*").alias("n"), F.sum("times").alias("times"), F.sum("label").alias("label")).collect()}
+    positives = sum(r[4] for r in data)
+    assert set(sums) == set(benchmark.ARMS) and {v[1:] for v in sums.values()} == {(300, positives)}
+    assert sums["vjonly"][0] == 4 and sums["kmer3"][0] == 8
+    names, once, facts = logistic.fit_weights(
+        benchmark.example_codes(counted, anchors), SIDES, by=["arm"], tolerance=1e-8, times="times"
+    )
+    plain_names, plain, plain_facts = logistic.fit_weights(benchmark.with_codes(pairs, anchors), SIDES, by=["arm"], tolerance=1e-8)
+    assert names == plain_names and all(facts[i][0] == plain_facts[i][0] == 300 for i in facts)
+    assert all(abs(once[i] - plain[i]).max() < 1e-5 for i in once)
