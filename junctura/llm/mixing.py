@@ -123,6 +123,7 @@ def mix(
     seed: int = SEED,
     room: int = KNAPSACK,
     slice_rows: int = SLICE,
+    number: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: key, source, size, source_size, target, copies, taken.
 
@@ -135,11 +136,13 @@ def mix(
     A null text has size 0, a null source is a source of its own, null keys and repeated rows count
     each for themselves (digest ties go by key, and rows equal in both are interchangeable). Empty
     texts are never taken, as copies of nothing. An empty table gives no rows; other columns are
-    ignored. The choice depends on seed, keys and sizes only.
+    ignored. The choice depends on seed, keys and sizes only. A column ``number`` tells rows of null or equal
+    keys apart, and is returned beside the key.
     """
     rows = stage(
         docs.select(
             F.col(f"`{key}`").alias("key"),
+            (F.lit(None).cast("bigint") if number is None else F.col(f"`{number}`")).alias("number"),
             F.col(f"`{source}`").cast("string").alias("source"),
             word_count(text).alias("length"),
         ),
@@ -167,17 +170,20 @@ def mix(
         ),
         "plan",
     )
-    return _choose(rows, plan, key, seed, slice_rows)
+    chosen = _choose(rows, plan, seed, slice_rows)
+    chosen = chosen.drop("number") if number is None else chosen.withColumnRenamed("number", number)
+    return chosen.withColumnRenamed("key", key)
 
 
-def _choose(rows: DataFrame, plan: DataFrame, key: str, seed: int, slice_rows: int) -> DataFrame:
+def _choose(rows: DataFrame, plan: DataFrame, seed: int, slice_rows: int) -> DataFrame:
     """Mark the ``extra`` rows with the smallest digests of each source and length."""
     same = F.equal_null(rows.source, plan.source) & (rows.length == plan.length)
     joined = rows.join(plan, same).select(
-        "key", rows.source, rows.length, "n", "extra", "passes", "source_size", "target"
+        "key", "number", rows.source, rows.length, "n", "extra", "passes", "source_size", "target"
     )
     # The upper 31 bits of the digest are uniform, so equal ranges of them hold about equally many.
-    digest = F.xxhash64(F.lit(seed), F.col("key"))
+    # Rows without a key go by their number, so that they spread too.
+    digest = F.xxhash64(F.lit(seed), F.col("key"), F.when(F.col("key").isNull(), F.col("number")))
     slices = F.ceil(F.col("n") / slice_rows)
     joined = joined.withColumn("digest", digest).withColumn("upper", F.shiftrightunsigned("digest", 33))
     joined = joined.withColumn("slice", F.shiftright(F.col("upper") * slices, 31))
@@ -186,7 +192,7 @@ def _choose(rows: DataFrame, plan: DataFrame, key: str, seed: int, slice_rows: i
         W.partitionBy("source", "length").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     )
     offsets = counted.select("source", "length", "slice", F.coalesce(before, F.lit(0)).alias("before"))
-    local = F.row_number().over(W.partitionBy("source", "length", "slice").orderBy("upper", "digest", "key"))
+    local = F.row_number().over(W.partitionBy("source", "length", "slice").orderBy("upper", "digest", "key", "number"))
     ranked = joined.withColumn("local", local)
     keyed = (
         F.equal_null(ranked.source, offsets.source)
@@ -196,7 +202,8 @@ def _choose(rows: DataFrame, plan: DataFrame, key: str, seed: int, slice_rows: i
     once_more = (F.col("before") + F.col("local") <= F.col("extra")).cast("long")
     copies = F.when(ranked.length > 0, F.col("passes") + once_more).otherwise(0).cast("long")
     return ranked.join(offsets, keyed).select(
-        F.col("key").alias(key),
+        "key",
+        "number",
         ranked.source.alias("source"),
         ranked.length.alias("size"),
         "source_size",
@@ -213,10 +220,14 @@ def mixed_documents(
 
     Rows are told apart by a number of their own, so rows with null or equal keys are taken each for
     itself and a source gets as many words as ``mix`` gives it. Null and empty texts are never taken; an
-    empty table gives no rows. Of equally long documents the number decides, not the key.
+    empty table gives no rows. Of equally long documents those are taken that ``mix`` takes, by their key; the number
+    decides only between null or equal keys.
     """
     rows = stage(packed(docs, id=F.monotonically_increasing_id()), "rows")
-    own = rows.select("id", F.col(f"doc.`{text}`").alias("text"), F.col(f"doc.`{source}`").alias("source"))
-    chosen = mix(own, "id", "text", "source").filter("copies > 0").select("id", "copies")
+    named = F.col(f"doc.`{key}`") if key in docs.columns else F.lit(None).cast("bigint")
+    own = rows.select(
+        "id", named.alias("key"), F.col(f"doc.`{text}`").alias("text"), F.col(f"doc.`{source}`").alias("source")
+    )
+    chosen = mix(own, "key", "text", "source", number="id").filter("copies > 0").select("id", "copies")
     taken = rows.join(chosen, "id").select("doc", "copies")
     return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

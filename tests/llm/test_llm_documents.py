@@ -374,6 +374,15 @@ def test_mix_meets_its_targets_whatever_the_slices(spark):
     assert copies == Counter({r.doc_id: r.copies for r in got if r.copies})
 
 
+def test_mixed_documents_agree_with_the_mix_in_any_order(spark):
+    rows = [(i, "w " * (i % 3 + 1), None, "ab"[i % 7 > 4], None) for i in range(400)]
+    docs = frame(spark, rows)
+    want = Counter({r.doc_id: r.copies for r in mix(docs).collect() if r.copies})
+    for parts in (1, 7):
+        some = docs.repartition(parts, "text", "source")
+        assert Counter(r.doc_id for r in mixed_documents(some).collect()) == want
+
+
 # Packing
 
 
