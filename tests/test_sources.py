@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from junctura.operators import anchors as anchoring
 from junctura.operators import cleaning
-from junctura.sources import records, sinks
+from junctura.sources import records, sinks, tables
 from junctura.streaming import ingest
 
 HEADER = "cdr3.beta\tv.beta\tj.beta\tspecies\tmhc.a\tantigen.epitope\treference.id"
@@ -90,3 +90,13 @@ def test_stream_cleans_arriving_chunks(spark, tmp_path):
         (tmp_path / "in" / f"{k}.txt").write_text("\n".join([header, *rows]) + "\n")
         ingest.clean_to(ingest.chunk_stream(spark, source), target, state).awaitTermination()
         assert spark.read.parquet(target).count() == k + 1
+
+
+def test_table_rows_are_spread_by_key(spark, tmp_path):
+    columns = [f"l_{c}" for c in ("orderkey", "linenumber", "partkey", "suppkey")]
+    rows = spark.range(700).select(*[(F.col("id") * k % m).alias(c) for c, k, m in zip(columns, (1, 3, 5, 7), (640, 7, 99, 11))])
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    base = tables._base(spark, str(tmp_path))
+    assert base.count() == 700
+    assert "RoundRobin" not in base._jdf.queryExecution().executedPlan().toString()
+    assert base.filter("vi <> sk % 8 OR ji <> pk % 6 OR ei <> (pk + sk) % 5").isEmpty()

@@ -81,6 +81,40 @@ def test_clonotypes_do_not_depend_on_order_or_partitions(spark):
     ]
 
 
+def test_cleaning_equals_a_search_of_every_value(spark):
+    blanks = ["", " ", "\t", "\n", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u200b", "\u3000"]
+    bodies = ["", "*", "CASSIRF", "cassirf", "CASS IRF", "TRBV19*01", "TRBV9 *01", "*01", "é", "Cé", "éC", "\x7f", "\x7fC", "CASSX", "ſASSIRF", "😀", "CASSI\nF"]
+    rows = [(a + body + b,) for a in blanks for body in bodies for b in blanks] + [(None,)]
+    df = spark.createDataFrame(rows, "t string")
+
+    def searched(value):
+        return F.regexp_replace(F.coalesce(value, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+    def text(value):
+        return F.upper(searched(value))
+
+    def residues(value, least):
+        return F.when(seq.canonical(text(value)) & (F.length(text(value)) >= least), text(value))
+
+    got = df.select("t", seq.strip("t"), seq.base_gene("t"), seq.residues("t"), seq.residues("t", 7), seq.residues("t", 8))
+    gene = searched(F.split_part(F.coalesce("t", F.lit("")), F.lit("*"), F.lit(1)))
+    want = df.select("t", searched(F.col("t")), gene, *[residues(F.col("t"), n) for n in (1, 7, 8)])
+    for a, b in zip(got.collect(), want.collect(), strict=True):
+        assert tuple(a) == tuple(b)
+
+
+def test_equal_records_are_counted_before_their_studies(spark):
+    schema = "cdr3 string, v string, j string, epitope string, mhc string, study string"
+    rows = [("C", "V", "J", "E", m, s) for m, s in [("b", "y"), ("b", "x"), ("b", "x"), ("a", "y"), (None, "y")]]
+    found = cleaning.unique_clonotypes(spark.createDataFrame(rows + [("C", "V", "J", "F", None, None)], schema))
+    assert values(found, *cleaning.CLONOTYPE, "mhc", "n_rows", "studies") == [
+        ("C", "V", "J", "E", "a", 5, ["x", "y"]), ("C", "V", "J", "F", None, 1, [])
+    ]
+    # Read from the leaves up, records are first counted by all of their columns.
+    steps = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in x]
+    assert len(steps) == 2 and "study" in steps[-1].split("]")[0] and "collect_set" not in steps[-1]
+
+
 def test_anchor_stops_at_first_miss_and_needs_support(spark):
     rows = [("CASSQEYF", "V1", "J1")] * 16 + [("CATSQEYF", "V1", "J1")] * 4 + [("CASSQEYF", "RARE", "J1")]
     df = spark.createDataFrame(rows, "cdr3 string, v string, j string")
