@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from junctura.llm.shared import WORDS, packed, stage, text_or_empty
+from junctura.llm.shared import SPACES, packed, stage, text_or_empty
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
@@ -17,11 +17,17 @@ SEED = 20250101
 KNAPSACK = 1 << 15
 # Rows that one task ranks when documents of one source and length are chosen from.
 SLICE = 1_000
+# White space at the start, or a word, with its first character as a group, and the white space behind it.
+HEADS = rf"^{SPACES}|([^\x20\x09-\x0D])[^\x20\x09-\x0D]*[\x20\x09-\x0D]*"
 
 
 def word_count(text: str = "text") -> Column:
-    """The number of runs of anything but ASCII white space; null counts as empty."""
-    return F.regexp_count(text_or_empty(f"`{text}`"), F.lit(WORDS)).cast("long")
+    """The number of runs of anything but ASCII white space; null counts as empty.
+
+    Each word is cut to its first character and those are counted: ``regexp_count`` holds all words
+    of a text at once, which takes many times the memory of the text.
+    """
+    return F.length(F.regexp_replace(text_or_empty(f"`{text}`"), HEADS, "$1")).cast("long")
 
 
 def source_targets(
@@ -148,7 +154,8 @@ def mix(
         ),
         "lengths",
     )
-    sizes = stage(rows.groupBy("source", "length").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    # Counted for each of its two uses, as that is little work; written, it was a small file for every task.
+    sizes = rows.groupBy("source", "length").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
     targets = stage(source_targets(sizes, weights, share, most).withColumn("place", place), "targets")
     passes = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0))

@@ -16,13 +16,14 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from junctura.llm import packing
+from junctura.llm import mixing, packing
 from junctura.llm.components import components
 from junctura.llm.exact_dedup import drop_copies, exact_groups
 from junctura.llm.langid import cluster, fit, grams, identify
-from junctura.llm.mixing import fit_counts, mix, mixed_documents
+from junctura.llm.mixing import fit_counts, mix, mixed_documents, word_count
 from junctura.llm.packing import Encoder, Packer, pack, padding
 from junctura.llm.quality import STOP_WORDS, judge, keep_good
+from junctura.llm.shared import stage
 from junctura.llm.simhash import (
     covering_masks,
     drop_near_copies,
@@ -374,6 +375,25 @@ def test_mix_meets_its_targets_whatever_the_slices(spark):
     assert copies == Counter({r.doc_id: r.copies for r in got if r.copies})
 
 
+def test_words_are_counted_without_holding_them(spark):
+    rng = random.Random(7)
+    marks = [*" \t\n\x0b\x0c\r", *"a$\\é漢😀\0\x1c\x1f\x85\xa0\u2003\u3000\ufeff"]
+    texts = [None, "", " ", "\r\n", " a", "a ", "$1", "\\1 \\$"]
+    texts += ["".join(rng.choices(marks, k=rng.randrange(30))) for _ in range(2000)]
+    docs = frame(spark, [(i, text, None, None, None) for i, text in enumerate(texts)])
+    counted = docs.select("doc_id", word_count().alias("n"))
+    assert "regexp_extract_all" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.n for r in counted.collect()} == {i: len(WORD.findall(t or "")) for i, t in enumerate(texts)}
+
+
+def test_counts_by_length_are_not_written(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(mixing, "stage", lambda df, name: written.append(name) or stage(df, name))
+    docs = frame(spark, [(i, "w " * (i % 5), None, "ab"[i % 2], None) for i in range(40)])
+    assert mix(docs).count() == 40
+    assert sorted(written) == ["lengths", "plan", "targets"]
+
+
 def test_mixed_documents_agree_with_the_mix_in_any_order(spark):
     rows = [(i, "w " * (i % 3 + 1), None, "ab"[i % 7 > 4], None) for i in range(400)]
     docs = frame(spark, rows)
