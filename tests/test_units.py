@@ -614,3 +614,22 @@ def test_nearest_loops_asks_only_contexts_that_can_win(spark, monkeypatch):
         assert row["sim"] == pytest.approx(max(every))
     ((met, all_of_them),) = asked
     assert met * 4 < all_of_them
+
+
+def test_nearest_loops_broadcasts_no_table_of_its_rows(spark, monkeypatch):
+    plans = []
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    real = neighbours.stage
+    monkeypatch.setattr(neighbours, "stage", planned)
+    monkeypatch.setattr(neighbours, "SMALL_ROWS", 0)
+    rows = [("p", "AC", f"CAS{a}{b}F") for a in "ACDEFG" for b in "ACDEFG"]
+    schema = "g string, a string, t string"
+    q, r = spark.createDataFrame(rows[::2] + [("p", "AC", "CASWWF")], schema), spark.createDataFrame(rows[1:], schema)
+    found = neighbours.nearest_loops(q, r, "g", ["a", "t"], [1, 3])
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
+    assert len(found.collect()) == 19
