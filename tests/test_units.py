@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 
 import pytest
@@ -633,3 +634,65 @@ def test_nearest_loops_broadcasts_no_table_of_its_rows(spark, monkeypatch):
     plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
     assert len(found.collect()) == 19
+
+
+@pytest.mark.parametrize("listed", [64, 2, 0])
+def test_draws_by_parts_are_the_same_and_known_ones_go(spark, monkeypatch, listed):
+    train = shared_loops(spark)
+    kept, staged, gone = ["Peptide", "HLA", "CDR3b"], [], []
+    plain = negatives.swap_negatives(train, "random", exclude_binders=True).select("grp", "draw", "label", *kept)
+    want = sorted(tuple(map(str, r)) for r in plain.collect())
+
+    def written(df):
+        staged.append(real(df))
+        return staged[-1]
+
+    real, remove = negatives.stage, negatives.discard
+    monkeypatch.setattr(negatives, "stage", written)
+    monkeypatch.setattr(negatives, "discard", lambda df: (gone.append(df.filter("known").count()), remove(df)))
+    monkeypatch.setattr(negatives, "PART_ROWS", 70)
+    monkeypatch.setattr(negatives, "LISTED", listed)
+    monkeypatch.setattr(negatives, "MASK_BITS", 3)
+    made = negatives.swap_negatives(train, "random", exclude_binders=True, kept=kept)
+    assert made.columns == ["grp", "draw", "label", *kept]
+    assert sorted(tuple(map(str, r)) for r in made.collect()) == want
+    # Three parts a round; what the first two rounds found to be known is off the disk, and no other columns were written.
+    assert len(gone) == 6 and sum(gone) > 0
+    assert not any({"Va", "CDR1a"} & set(x.columns) for x in staged)
+
+
+def test_marks_of_positives_go_with_their_negatives(spark):
+    train = shared_loops(spark)
+    side = lambda rows: rows.withColumn("first", F.col("grp") < "8")
+    made = negatives.swap_negatives(train, "challenge", kept=["Peptide", "CDR3b"], mark=side)
+    assert made.columns == ["grp", "draw", "label", "first", "Peptide", "CDR3b"]
+    rows_ = made.collect()
+    assert all(r["first"] == (r["grp"] < "8") for r in rows_) and {r["first"] for r in rows_} == {True, False}
+    assert sum(r["label"] == 0 for r in rows_) > 200
+    # Where nothing asks for the digests they aren't shuffled.
+    plan = made.select("first", "Peptide", "CDR3b")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and "_id" in x]
+
+
+def test_stage_removes_its_shuffle_files_and_discard_the_table(spark, monkeypatch):
+    from junctura import session
+
+    set_to = []
+    table = spark.range(1000).repartition(3, "id")
+    put = type(spark.conf).set
+    monkeypatch.setattr(type(spark.conf), "set", lambda self, k, v: (set_to.append((k, v)), put(self, k, v))[1])
+    written = session.stage(table)
+    assert set_to == [(session.CLEANED, "true"), (session.CLEANED, "false")] and written.count() == 1000
+    folder = written.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    session.discard(written)
+    session.discard(table)
+    assert not os.path.exists(folder)
+
+
+def test_exports_are_written_compressed(spark, tmp_path):
+    from junctura.sources import records, sinks
+
+    table = spark.createDataFrame([("CASSF", 1)] * 5, "A1 string, binder int")
+    sinks.write_export({"train": table}, str(tmp_path))
+    assert list((tmp_path / "train").glob("*.csv.gz")) and not list((tmp_path / "train").glob("*.csv"))
+    assert [tuple(r) for r in records.read_named(spark, f"{tmp_path}/train", ["A1", "binder"]).collect()] == [("CASSF", "1")] * 5
