@@ -2,9 +2,11 @@
 
 import hashlib
 import math
+import pickle
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +132,29 @@ def test_models_side_by_side(spark):
     assert scored.filter("run = 9 AND score IS NULL").count() == 80 and scored.filter("run < 2 AND score IS NULL").count() == 0
 
 
+def test_blocks_take_up_batches(spark, monkeypatch):
+    rows = [(i % 2, i % 3 == 0, [i % 7, i % 5] if i % 11 else None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "m int, l boolean, t array<int>").coalesce(1)
+    rows = df.select("m", F.col("l").cast("double"), F.lit(1.0).alias("n"), "t")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        made = logistic._prepared(rows, 1, 18).collect()
+        monkeypatch.setattr(logistic, "BLOCK_ROWS", 500)
+        several = logistic._prepared(rows, 1, 18).collect()
+        monkeypatch.setattr(logistic, "BLOCK_NUMBERS", 90)
+        many = logistic._prepared(rows, 1, 18).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    # Forty batches of both models: a block each, then one after ten batches, then one a batch.
+    assert [len(x) for x in (made, several, many)] == [2, 8, 80]
+    for blocks in (made, several, many):
+        found = [pickle.loads(b.block) for b in blocks]
+        assert sum(bags.n for bags, *_ in found) == 4000 and sum(label.sum() for _, label, _ in found) == 1334
+        total = sum(bags.spread(np.ones(bags.n), 7) for bags, *_ in found)
+        assert total.tolist() == np.bincount([x for _, _, t in df.collect() for x in t or []], minlength=7).tolist()
+
+
 def test_logistic_margin_matches_direct_minimisation(spark):
     import numpy as np
 
